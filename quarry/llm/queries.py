@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, token_counts
+from . import bpe, language, licenses, packing, quality, secrets, token_counts
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op5_secrets": secrets.op5_secrets,
+    "op7_quality": quality.op7_quality,
+    "op8_language": language.op8_language,
+    "op9_licenses": licenses.op9_licenses,
     "op10_bpe": bpe.op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_quality": quality.OP7_SQL}
