@@ -45,6 +45,15 @@ def dropped(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: A written table of so many rows of a few short columns may be broadcast (some 50 MB).
+MOST_BROADCAST = 500_000
+
+
+def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A written table, to be broadcast where its count allows it; else the join is Spark's to plan, by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -163,18 +163,19 @@ def identify(docs: DataFrame, text: str, samples: dict[str, str], keep: tuple[st
     Ties go to the first language by name; repeated rows are judged each for itself; an empty table gives no rows.
     """
     shared, key = docs.sparkSession.sparkContext.broadcast(samples), uuid.uuid4().hex
-    wanted = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    out = wanted.drop("__text").schema.add("lang_pred", "string").add("score", "double").add("phrase_rate", "double")
+    wanted = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    out = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("phrase_rate", "double")
+    at = wanted.columns.index(text if text in keep else "__text")
 
     def judged(batches):
         if shared.value and key not in _models:
             _models.clear()
             _models[key] = Model(shared.value)
         for batch in slices(batches):
-            found = texts(batch.column(len(keep)))
+            found = texts(batch.column(at))
             answers = _models[key].predict(found) if shared.value else ([UNDETERMINED] * len(found), [0.0] * len(found), [1.0] * len(found))
             columns = [pa.array(a, k) for a, k in zip(answers, (pa.string(), pa.float64(), pa.float64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, "lang_pred", "score", "phrase_rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=out.fieldNames())
 
     return wanted.mapInArrow(judged, out)
 
@@ -185,3 +186,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = sample(docs.where(~held_out("doc_id")), "doc_id", "text", "lang")
     found = identify(docs, "text", samples, ("doc_id",))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def recognised(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
+    """docs whose text is in a language that their labels teach; a null label becomes the language found.
+
+    Texts without a letter go, and texts unlike all languages. With no label at all, nothing can be judged but the former.
+    """
+    samples = sample(docs, doc_id, text, lang)
+    if not samples:
+        return docs.where(F.col(text).rlike(r"\p{L}"))
+    found = identify(docs, text, samples, tuple(docs.columns))
+    good = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("phrase_rate") <= STRANGE))
+    return good.withColumn(lang, F.coalesce(lang, "lang_pred")).select(*docs.columns)

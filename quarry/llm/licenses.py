@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import slices, table, texts, written
+from .common import slices, small, table, texts, written
 
 K = 2
 #: Base phrases and their labels. All of a phrase's words must stand consecutively.
@@ -34,8 +34,6 @@ TEMPLATES = (
 )
 #: Diagonals so near are one alignment; a template is found when so many of its words stand in their order in a span.
 SLACK, LEAST_SHARE = 2, 0.9
-#: Candidates of at most so many documents are broadcast to the second pass (about 100 bytes each); more are joined by a shuffle.
-MOST_BROADCAST = 200_000
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -188,10 +186,8 @@ def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("__text_hash", F.xxhash64("text"))
     key = ("doc_id", "__text_hash")
     found = written(candidates(docs, "text", key), "license")
-    right = found.withColumnRenamed("doc_id", "__id")
-    if found.count() <= MOST_BROADCAST:
-        right = F.broadcast(right)
-    joined = docs.join(right, F.col("doc_id").eqNullSafe(F.col("__id")) & (docs["__text_hash"] == right["__text_hash"]), "left").select("doc_id", "text", "spans")
+    right = small(found.withColumnsRenamed({"doc_id": "__id", "__text_hash": "__hash"}))
+    joined = docs.join(right, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left").select("doc_id", "text", "spans")
     out = joined.select("doc_id").schema
     for field in docs.sparkSession.createDataFrame([], SCANNED).schema:
         out = out.add(field)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small, table, written
 
 #: White space between words, as characters and as a regular expression's class.
 SPACE, SPACE_CLASS = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]"
@@ -94,6 +94,15 @@ def judge(docs: DataFrame, text: str, host: str, keep: dict[str, str]) -> DataFr
     return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("soft") & (F.col("host_rate") > BAD_HOST)))
 
 
+def passed(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
+    """docs that judge() keeps. What it rejects is found again by doc_id and a hash of the text; rows equal in both are judged alike."""
+    key = {"__a": F.col(doc_id), "__b": F.xxhash64(F.col(text).cast("string"))}
+    marked = docs.withColumns(key)
+    verdicts = judge(marked, text, host, {"a": "__a", "b": "__b"})
+    gone = small(written(verdicts.where(~F.col("kept")).select("a", "b").distinct(), "rejected"))
+    return marked.join(gone, F.col("__a").eqNullSafe(F.col("a")) & (F.col("__b") == F.col("b")), "left_anti").select(*docs.columns)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdicts of every document, with source as host; see judge for nulls, empty texts and repeated rows."""
     out = judge(table(spark, sf_dir, "documents"), "text", "source", {"doc_id": "doc_id"})

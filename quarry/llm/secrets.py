@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts, written
+from .common import slices, small, table, texts, written
 
 #: The base kinds in their order, each with its pattern, the group that is the secret, and its least length.
 KINDS = (
@@ -143,15 +143,14 @@ def redacted(docs: DataFrame, text: str, owner: str, repo: str) -> DataFrame:
     Overlapping spans go together. Texts are found again by repo and a hash of the text; rows that agree in both have
     the same findings. Null texts stay null.
     """
-    key = [F.col(repo).cast("string").alias("__a"), F.xxhash64(F.col(text)).alias("__b")]
-    spans = judged(docs.withColumns({"__a": key[0], "__b": key[1]}), text, owner, repo, {"__a": "__a", "__b": "__b"})
+    marked = docs.withColumns({"__a": F.col(repo).cast("string"), "__b": F.xxhash64(F.col(text).cast("string"))})
+    spans = judged(marked, text, owner, repo, {"a": "__a", "b": "__b"})
     cuts = F.filter("spans", lambda s: s.verdict != "example")
-    hidden = spans.where(F.size(cuts) > 0).groupBy("__a", "__b").agg(F.first(F.transform(cuts, lambda s: F.struct(s.start.alias("start"), s.end.alias("end")))).alias("__cuts"))
-    # Spans stand by start, so each text is built from left to right; done is where the last span ended.
-    hidden = written(hidden, "cuts")
-    step = f"""aggregate(__cuts, named_struct('out', '', 'done', 0L), (a, s) -> named_struct(
-        'out', if(s.end <= a.done, a.out, concat(a.out, if(s.start >= a.done, concat(substring(`{text}`, a.done + 1, s.start - a.done), '[REDACTED]'), ''))),
-        'done', greatest(a.done, s.end)), a -> concat(a.out, substring(`{text}`, a.done + 1)))"""
-    joined = docs.withColumns({"__a": key[0], "__b": key[1]}).join(hidden, ["__a", "__b"], "left")
-    changed = joined.withColumn(text, F.when(F.col("__cuts").isNull(), F.col(text)).otherwise(F.expr(step.replace("a.done + 1, ", "cast(a.done + 1 as int), ").replace("s.start - a.done)", "cast(s.start - a.done as int))").replace("a.done + 1))", "cast(a.done + 1 as int)))"))))
-    return changed.select(*docs.columns)
+    plain = F.transform(cuts, lambda s: F.struct(s.start.cast("int").alias("start"), s.end.cast("int").alias("end")))
+    hidden = small(written(spans.where(F.size(cuts) > 0).groupBy("a", "b").agg(F.first(plain).alias("cuts")), "cuts"))
+    joined = marked.withColumn("__t", F.col(text)).join(hidden, F.col("__a").eqNullSafe(F.col("a")) & (F.col("__b") == F.col("b")), "left")
+    # From left to right: x.out is the text so far, x.done where the last span ended.
+    clean = """aggregate(cuts, named_struct('out', '', 'done', 0), (x, s) -> named_struct(
+        'out', if(s.end <= x.done, x.out, concat(x.out, if(s.start >= x.done, concat(substring(__t, x.done + 1, s.start - x.done), '[REDACTED]'), ''))),
+        'done', greatest(x.done, s.end)), x -> concat(x.out, substring(__t, x.done + 1)))"""
+    return joined.withColumn(text, F.when(F.col("cuts").isNull(), F.col(text)).otherwise(F.expr(clean))).select(*docs.columns)
