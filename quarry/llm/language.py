@@ -156,15 +156,15 @@ class Model:
 _models: dict[str, Model] = {}
 
 
-def identify(docs: DataFrame, text: str, samples: dict[str, str], keep: tuple[str, ...]) -> DataFrame:
-    """keep's columns, lang_pred, score and phrase_rate of each document.
+def identify(docs: DataFrame, text: str, samples: dict[str, str], keep: tuple[str, ...], names: tuple[str, str, str] = ("lang_pred", "score", "phrase_rate")) -> DataFrame:
+    """keep's columns, then by these names the language, its score and its phrases a character, of each document.
 
     A text that is null or has no letter is UNDETERMINED with score 0 and rate 1, and so are all where nothing was learned.
     Ties go to the first language by name; repeated rows are judged each for itself; an empty table gives no rows.
     """
     shared, key = docs.sparkSession.sparkContext.broadcast(samples), uuid.uuid4().hex
     wanted = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    out = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("phrase_rate", "double")
+    out = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double").add(names[2], "double")
     at = wanted.columns.index(text if text in keep else "__text")
 
     def judged(batches):
@@ -196,6 +196,6 @@ def recognised(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
     samples = sample(docs, doc_id, text, lang)
     if not samples:
         return docs.where(F.col(text).rlike(r"\p{L}"))
-    found = identify(docs, text, samples, tuple(docs.columns))
-    good = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("phrase_rate") <= STRANGE))
-    return good.withColumn(lang, F.coalesce(lang, "lang_pred")).select(*docs.columns)
+    found = identify(docs, text, samples, tuple(docs.columns), ("__lang", "__score", "__rate"))
+    good = found.where((F.col("__lang") != UNDETERMINED) & (F.col("__rate") <= STRANGE))
+    return good.withColumn(lang, F.coalesce(lang, "__lang")).select(*docs.columns)

@@ -187,7 +187,7 @@ def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     key = ("doc_id", "__text_hash")
     found = written(candidates(docs, "text", key), "license")
     right = small(found.withColumnsRenamed({"doc_id": "__id", "__text_hash": "__hash"}))
-    joined = docs.join(right, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left").select("doc_id", "text", "spans")
+    joined = docs.join(right, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__text_hash").eqNullSafe(F.col("__hash")), "left").select("doc_id", "text", "spans")
     out = joined.select("doc_id").schema
     for field in docs.sparkSession.createDataFrame([], SCANNED).schema:
         out = out.add(field)

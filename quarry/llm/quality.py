@@ -23,32 +23,32 @@ def measured(docs: DataFrame, text: str, keep: dict[str, str]) -> DataFrame:
     A null text is one without words. Five-word windows are compared by a 64-bit hash of the words' hashes. Only texts that
     repeat a window pay for a sort; the arrays of a row never leave it.
     """
-    t = F.coalesce(F.col("t"), F.lit(""))
-    df = docs.select(*(F.col(c).alias(n) for n, c in keep.items()), F.col(text).cast("string").alias("t")).withColumn("t", t)
-    df = df.withColumn("b", F.btrim("t", F.lit(SPACE)))
-    df = df.withColumn("w", F.when(F.col("b") == "", F.array().cast("array<string>")).otherwise(F.split("b", f"{SPACE_CLASS}+")))
-    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(SPACE_CLASS.replace("[", "[^")))
-    left = lambda chars: F.length(F.translate("t", chars, ""))
+    t = F.coalesce(F.col("__t"), F.lit(""))
+    df = docs.select(*(F.col(c).alias(n) for n, c in keep.items()), F.col(text).cast("string").alias("__t")).withColumn("__t", t)
+    df = df.withColumn("__b", F.btrim("__t", F.lit(SPACE)))
+    df = df.withColumn("__w", F.when(F.col("__b") == "", F.array().cast("array<string>")).otherwise(F.split("__b", f"{SPACE_CLASS}+")))
+    lines = F.filter(F.split("__t", "\n"), lambda x: x.rlike(SPACE_CLASS.replace("[", "[^")))
+    left = lambda chars: F.length(F.translate("__t", chars, ""))
     df = df.select(
         *keep,
-        F.size("w").cast("long").alias("n_words"),
+        F.size("__w").cast("long").alias("n_words"),
         left(SPACE).cast("long").alias("word_chars"),
-        (F.length("t") - left(SYMBOLS)).cast("long").alias("n_symbols"),
-        lines.alias("lines"),
-        F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
+        (F.length("__t") - left(SYMBOLS)).cast("long").alias("n_symbols"),
+        lines.alias("__lines"),
+        F.transform("__w", lambda x: F.xxhash64(x)).alias("__h"),
     )
     counted = [*keep, "n_words", "word_chars", "n_symbols"]
     df = df.select(
         *counted,
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr(f"CASE WHEN n_words >= {WINDOW} THEN transform(slice(h, 1, size(h) - {WINDOW - 1}), (x, i) -> xxhash64(x, {', '.join(f'get(h, i + {k})' for k in range(1, WINDOW))})) END").alias("g"),
+        F.size("__lines").cast("long").alias("n_lines"),
+        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+        F.expr(f"CASE WHEN n_words >= {WINDOW} THEN transform(slice(__h, 1, size(__h) - {WINDOW - 1}), (x, i) -> xxhash64(x, {', '.join(f'get(__h, i + {k})' for k in range(1, WINDOW))})) END").alias("__g"),
     )
     counted += ["n_lines", "n_dup_lines"]
-    df = df.select(*counted, F.expr("CASE WHEN size(g) > size(array_distinct(g)) THEN array_sort(transform(g, (x, i) -> named_struct('x', x, 'i', i))) END").alias("s"))
-    again = "filter(s, (a, k) -> get(s, k - 1).x <=> a.x OR get(s, k + 1).x <=> a.x)"
-    df = df.select(*counted, F.expr(f"array_sort(transform({again}, a -> a.i))").alias("at"))
-    covered = f"aggregate(transform(at, (p, k) -> least({WINDOW}, coalesce(get(at, k + 1) - p, {WINDOW}))), 0L, (x, y) -> x + y)"
+    df = df.select(*counted, F.expr("CASE WHEN size(__g) > size(array_distinct(__g)) THEN array_sort(transform(__g, (x, i) -> named_struct('x', x, 'i', i))) END").alias("__s"))
+    again = "filter(__s, (a, k) -> get(__s, k - 1).x <=> a.x OR get(__s, k + 1).x <=> a.x)"
+    df = df.select(*counted, F.expr(f"array_sort(transform({again}, a -> a.i))").alias("__at"))
+    covered = f"aggregate(transform(__at, (p, k) -> least({WINDOW}, coalesce(get(__at, k + 1) - p, {WINDOW}))), 0L, (x, y) -> x + y)"
     return df.select(*counted, F.expr(f"coalesce({covered}, 0L)").alias("n_repeat_words"))
 
 
@@ -67,7 +67,7 @@ def host_rates(judged: DataFrame) -> DataFrame:
     The prior's mean and weight come from the mean and variance of the hosts' own rates (method of moments); one row
     of sums reaches the driver.
     """
-    hosts = judged.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("fails").cast("long")).alias("failed"))
+    hosts = judged.groupBy("__host").agg(F.count("*").alias("n"), F.sum(F.col("fails").cast("long")).alias("failed"))
     own = F.col("failed") / F.col("n")
     mean, var = hosts.agg(F.avg(own), F.var_pop(own)).first()
     mean = 0.0 if mean is None else mean
@@ -84,23 +84,23 @@ def judge(docs: DataFrame, text: str, host: str, keep: dict[str, str]) -> DataFr
     Repeated rows count each for itself; an empty table gives no rows; extra columns aren't read. The measures are
     written once; the join back deals each host's rows over SALTS keys, so a host with a third of them is spread out.
     """
-    m = written(measured(docs, text, keep | {"host": host}), "quality")
-    m = m.withColumn("base_failed", base_failed()).withColumn("soft", soft_failed())
-    m = m.withColumn("host", F.struct(F.col("host").cast("string")))
-    rates = host_rates(m.select("host", (F.col("base_failed") | F.col("soft")).alias("fails")))
-    rates = rates.select("host", F.col("rate").alias("host_rate"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    m = m.withColumn("salt", F.pmod(F.xxhash64(*keep, "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
-    joined = m.join(rates, ["host", "salt"], "left").drop("salt", "host")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("soft") & (F.col("host_rate") > BAD_HOST)))
+    m = written(measured(docs, text, keep | {"__host": host}), "quality")
+    m = m.withColumn("base_failed", base_failed()).withColumn("__soft", soft_failed())
+    m = m.withColumn("__host", F.struct(F.col("__host").cast("string")))
+    rates = host_rates(m.select("__host", (F.col("base_failed") | F.col("__soft")).alias("fails")))
+    rates = rates.select("__host", F.col("rate").alias("host_rate"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    m = m.withColumn("__salt", F.pmod(F.xxhash64(*keep, "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
+    joined = m.join(rates, ["__host", "__salt"], "left").drop("__salt", "__host")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("__soft") & (F.col("host_rate") > BAD_HOST)))
 
 
 def passed(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     """docs that judge() keeps. What it rejects is found again by doc_id and a hash of the text; rows equal in both are judged alike."""
     key = {"__a": F.col(doc_id), "__b": F.xxhash64(F.col(text).cast("string"))}
     marked = docs.withColumns(key)
-    verdicts = judge(marked, text, host, {"a": "__a", "b": "__b"})
-    gone = small(written(verdicts.where(~F.col("kept")).select("a", "b").distinct(), "rejected"))
-    return marked.join(gone, F.col("__a").eqNullSafe(F.col("a")) & (F.col("__b") == F.col("b")), "left_anti").select(*docs.columns)
+    verdicts = judge(marked, text, host, {"__ka": "__a", "__kb": "__b"})
+    gone = small(written(verdicts.where(~F.col("kept")).select("__ka", "__kb").distinct(), "rejected"))
+    return marked.join(gone, F.col("__a").eqNullSafe(F.col("__ka")) & F.col("__b").eqNullSafe(F.col("__kb")), "left_anti").select(*docs.columns)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

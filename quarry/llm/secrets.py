@@ -144,13 +144,13 @@ def redacted(docs: DataFrame, text: str, owner: str, repo: str) -> DataFrame:
     the same findings. Null texts stay null.
     """
     marked = docs.withColumns({"__a": F.col(repo).cast("string"), "__b": F.xxhash64(F.col(text).cast("string"))})
-    spans = judged(marked, text, owner, repo, {"a": "__a", "b": "__b"})
+    spans = judged(marked, text, owner, repo, {"__ka": "__a", "__kb": "__b"})
     cuts = F.filter("spans", lambda s: s.verdict != "example")
     plain = F.transform(cuts, lambda s: F.struct(s.start.cast("int").alias("start"), s.end.cast("int").alias("end")))
-    hidden = small(written(spans.where(F.size(cuts) > 0).groupBy("a", "b").agg(F.first(plain).alias("cuts")), "cuts"))
-    joined = marked.withColumn("__t", F.col(text)).join(hidden, F.col("__a").eqNullSafe(F.col("a")) & (F.col("__b") == F.col("b")), "left")
+    hidden = small(written(spans.where(F.size(cuts) > 0).groupBy("__ka", "__kb").agg(F.first(plain).alias("__cuts")), "cuts"))
+    joined = marked.withColumn("__t", F.col(text)).join(hidden, F.col("__a").eqNullSafe(F.col("__ka")) & F.col("__b").eqNullSafe(F.col("__kb")), "left")
     # From left to right: x.out is the text so far, x.done where the last span ended.
-    clean = """aggregate(cuts, named_struct('out', '', 'done', 0), (x, s) -> named_struct(
+    clean = """aggregate(__cuts, named_struct('out', '', 'done', 0), (x, s) -> named_struct(
         'out', if(s.end <= x.done, x.out, concat(x.out, if(s.start >= x.done, concat(substring(__t, x.done + 1, s.start - x.done), '[REDACTED]'), ''))),
         'done', greatest(x.done, s.end)), x -> concat(x.out, substring(__t, x.done + 1)))"""
-    return joined.withColumn(text, F.when(F.col("cuts").isNull(), F.col(text)).otherwise(F.expr(clean))).select(*docs.columns)
+    return joined.withColumn(text, F.when(F.col("__cuts").isNull(), F.col(text)).otherwise(F.expr(clean))).select(*docs.columns)
