@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, slices, small, table, texts, written
+from .common import connected_components, slices, table, texts, written
 
 BITS, SEED = 64, 42
 #: Most differing bits of a link; words of a shingle.
@@ -217,21 +217,6 @@ def grouped(docs: DataFrame, doc_id: str, text: str, distance: int = DISTANCE, s
     return own.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """docs with one document of each component: that with the smallest doc_id, once if it is repeated.
-
-    Rows without a doc_id aren't compared and stay.
-    """
-    found = written(grouped(docs.where(F.col(doc_id).isNotNull()), doc_id, text), "groups")
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    kept = docs.join(small(gone), F.col(doc_id) == F.col("__gone"), "left_anti")
-    twice = written(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice"), "twice")
-    if twice.isEmpty():
-        return kept
-    here = F.col(doc_id) == F.col("__twice")
-    return kept.join(small(twice), here, "left_anti").unionByName(kept.join(small(twice), here, "left_semi").dropDuplicates([doc_id]))
-
-
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; see grouped for nulls, empty and repeated texts."""
     out = grouped(table(spark, sf_dir, "documents"), "doc_id", "text")
