@@ -12,20 +12,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from .common import slices, table, texts
+from .common import slices, table, texts, written
 
-#: Words in the lexicon.
+#: Most words in the lexicon.
 LEXICON_WORDS = 50_000
 
 
 def lexicon(docs: DataFrame, text: str, path: str, size: int = LEXICON_WORDS) -> bytes:
-    """The compiled lexicon of the size most frequent words of all texts (ties by word).
+    """The compiled lexicon of the most frequent words of all texts, at most size of them.
 
     A word is what stands between single spaces, with the space before it. Counts are added up by task before the
-    shuffle, and at most size words reach the driver.
+    shuffle. They fall into steps of an eighth of a power of two, and the lowest step that still lets at most size words in
+    is the cut, so no more than those reach the driver however many tasks there are.
     """
     words = docs.select(F.explode(F.split(F.col(text).cast("string"), " ")).alias("word"))
-    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()
+    counts = written(words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").withColumn("step", F.floor(8 * F.log2("n")).cast("int")), "words")
+    steps = dict(counts.groupBy("step").count().collect())
+    cut, total = 1 << 30, 0
+    for step in sorted(steps, reverse=True):
+        total += steps[step]
+        if total > size:
+            break
+        cut = step
+    top = counts.where(F.col("step") >= cut).select("word").collect()
     one = byte_bpe.vocabulary(path).core.encode_ordinary
     return byte_bpe.Lexicon.compiled({f" {w}".encode(): one(f" {w}") for w in (r["word"] for r in top) if not byte_bpe.DOUBTFUL.search(w)})
 
