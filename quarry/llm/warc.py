@@ -78,8 +78,11 @@ def records(chunks: Iterator[bytes]) -> Iterator[bytes]:
         return False
 
     while True:
-        while held.startswith(b"\r\n", at):  # what some writers leave between records
-            at += 2
+        while True:  # the line ends between records may come with the next chunk
+            while held.startswith(b"\r\n", at):
+                at += 2
+            if len(held) - at >= 2 or not more():
+                break
         end = held.find(b"\r\n\r\n", at)
         while end < 0 and more():
             end = held.find(b"\r\n\r\n", max(at, 0))
