@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from .common import connected_components, slices, table, written
 
 COSINE, PLANES, TABLES, SEED = 0.98, 14, 20, 20260
-#: Vectors that one task compares at once; a larger bucket is compared block by block.
-BLOCK = 1024
+#: Vectors of a bucket that are compared at once, beyond which it is compared block by block; rows that Python gets at once.
+BLOCK, CELL = 1024, 4096
 EDGES = "kind int, a long, b long, n long"
 
 
@@ -77,48 +77,61 @@ def linked(vectors: DataFrame, cosine: float = COSINE, planes: int = PLANES, tab
     """((u, v) that connect all linked classes, (id, n_links) of each linked class's representative) from (id, label, vec, copies).
 
     Vectors of a label that share a table's hash are a bucket. Its members are dealt to blocks of about BLOCK; each pair of
-    blocks is one group, so a bucket of any size is compared whole in bounded tasks and no pair leaves its group: what leaves
+    blocks stands in one cell, so a bucket of any size is compared whole in bounded tasks and no pair leaves its cell: what leaves
     are sums of links and, for each vector, one link to the smallest id that it meets there. A pair counts in the first
     table where it meets. n_links counts the copies of linked classes.
     """
     rows = written(hashed(vectors, planes, tables, seed).join(vectors.select("id", "copies"), "id"), "signatures")
     placed = rows.select("id", "label", F.posexplode("sig").alias("here", "hash"))
     sizes = placed.groupBy("label", "here", "hash").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = written(sizes.select("label", "here", "hash", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
-    met = placed.join(sizes, ["label", "here", "hash"])
+    sizes = sizes.select("label", "here", "hash", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    sizes = written(sizes.withColumn("bucket", F.monotonically_increasing_id()), "buckets")
+    cells = (sizes.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) // CELL + 1
+    met = placed.join(sizes.drop("n"), ["label", "here", "hash"])
     met = met.withColumn("block", F.pmod(F.xxhash64("id", "here"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("lo"), F.greatest("block", x).alias("hi")))
-    met = met.select("id", "label", "here", "hash", "block", F.explode(pairs).alias("x")).join(rows.select("id", "vec", "sig", "copies"), "id")
-
-    def compare(key, t):
-        here, lo, hi = key[1].as_py(), key[3].as_py(), key[4].as_py()
-        ids, copies, block = (t.column(c).to_numpy() for c in ("id", "copies", "block"))
-        order = np.argsort(ids, kind="stable")
-        ids, copies, block = ids[order], copies[order], block[order]
+    met = met.select("id", "here", "bucket", "block", F.explode(pairs).alias("x")).join(rows.select("id", "vec", "sig", "copies"), "id")
+    met = met.select("id", "here", "bucket", "block", "x.lo", "x.hi", "vec", "sig", "copies")
+    met = met.withColumn("cell", F.pmod(F.xxhash64("bucket", "lo", "hi"), F.lit(cells)))
+
+    def compare(t):
+        names = ("bucket", "lo", "hi", "id", "here", "block", "copies")
+        order = np.lexsort([t.column(c).to_numpy() for c in ("id", "hi", "lo", "bucket")])
+        bucket, lo, hi, ids, here, block, copies = (t.column(c).to_numpy()[order] for c in names)
         lists = [t.column(c).combine_chunks().take(pa.array(order)) for c in ("vec", "sig")]
-        lengths = np.diff(lists[0].offsets.to_numpy())
-        out = {"kind": [], "a": [], "b": [], "n": []}
-        for size in np.unique(lengths).tolist():
-            at = np.flatnonzero(lengths == size)
-            vec = pa.chunked_array([lists[0].take(pa.array(at))]).combine_chunks().flatten().to_numpy().reshape(-1, size)
-            sig = pa.chunked_array([lists[1].take(pa.array(at))]).combine_chunks().flatten().to_numpy().reshape(-1, tables)
-            one, two = np.flatnonzero(block[at] == lo), np.flatnonzero(block[at] == hi)
-            i, j = compared((vec[one], sig[one]), (vec[two], sig[two]), lo == hi, here, cosine)
-            if not len(i):
-                continue
-            x, y = at[one[i]], at[two[j]]
-            n = np.bincount(x, copies[y], len(ids)) + np.bincount(y, copies[x], len(ids))
-            some = np.flatnonzero(n)
-            for name, values in (("kind", np.zeros(len(some), np.int64)), ("a", ids[some]), ("b", ids[some]), ("n", n[some].astype(np.int64))):
-                out[name] += values.tolist()
-            # A spanning forest of the links found here, so that a group sends on fewer edges than it has members.
-            for u, v in forest(x, y, len(ids)):
-                for name, value in (("kind", 1), ("a", int(ids[u])), ("b", int(ids[v])), ("n", 0)):
-                    out[name].append(value)
-        return pa.table({k: pa.array(v, pa.int32() if k == "kind" else pa.int64()) for k, v in out.items()})
-
-    groups = met.groupBy("label", "here", "hash", "x.lo", "x.hi")
-    found = written(groups.applyInArrow(compare, EDGES), "links")
+        vec, sig = (x.flatten().to_numpy() for x in lists)
+        starts = np.concatenate(([0], np.cumsum(lists[0].value_lengths().to_numpy())))
+        sig = sig.reshape(len(ids), -1)
+        new = (np.diff(bucket) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)
+        bounds = np.concatenate(([0], np.flatnonzero(new) + 1, [len(ids)]))
+        counted, linked_ = [], []
+        for first, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            lengths = np.diff(starts[first : stop + 1])
+            for size in np.unique(lengths).tolist():
+                at = first + np.flatnonzero(lengths == size)
+                body = vec[starts[at][:, None] + np.arange(size)]
+                one, two = np.flatnonzero(block[at] == lo[first]), np.flatnonzero(block[at] == hi[first])
+                i, j = compared((body[one], sig[at[one]]), (body[two], sig[at[two]]), lo[first] == hi[first], int(here[first]), cosine)
+                if not len(i):
+                    continue
+                x, y = one[i], two[j]
+                n = np.bincount(x, copies[at[y]], len(at)) + np.bincount(y, copies[at[x]], len(at))
+                some = np.flatnonzero(n)
+                counted.append((ids[at[some]], n[some].astype(np.int64)))
+                # A spanning forest of the links found here, so that a bucket sends on fewer edges than it has members.
+                linked_ += [(int(ids[at[u]]), int(ids[at[v]])) for u, v in forest(x, y, len(at))]
+        a = np.concatenate([c[0] for c in counted]) if counted else np.zeros(0, np.int64)
+        n = np.concatenate([c[1] for c in counted]) if counted else np.zeros(0, np.int64)
+        # A cell's sums of an id meet before they are sent on.
+        a, place = np.unique(a, return_inverse=True)
+        n = np.bincount(place, n, len(a)).astype(np.int64) if len(a) else n
+        linked_ = sorted(set(linked_))
+        kinds = np.concatenate((np.zeros(len(a), np.int32), np.ones(len(linked_), np.int32)))
+        u = np.concatenate((a, np.array([x[0] for x in linked_], np.int64)))
+        v = np.concatenate((a, np.array([x[1] for x in linked_], np.int64)))
+        return pa.table({"kind": pa.array(kinds), "a": pa.array(u), "b": pa.array(v), "n": pa.array(np.concatenate((n, np.zeros(len(linked_), np.int64))))})
+
+    found = written(met.groupBy("cell").applyInArrow(compare, EDGES), "links")
     edges = found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
     return edges, found.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
 
