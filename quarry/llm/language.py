@@ -101,18 +101,19 @@ class SuffixAutomaton:
                     q = copy
                 link[new] = q
             last = new
-        table = np.zeros((len(steps) + 1, width), np.int32)  # row 0 stays unused, so that no row's start is its own negative
+        # Row 0 stays unused, so that no row's start is its own negative; at the last row no phrase is open.
+        table = np.zeros((len(steps) + 2, width), np.int32)
         for state, x in enumerate(steps):
             if x:
                 table[state + 1, list(x)] = [(t + 1) * width for t in x.values()]
-        root = np.where(table[1] > 0, table[1], width)
+        self.none_open = (len(steps) + 1) * width
+        root = np.where(table[1] > 0, table[1], self.none_open)  # a letter that the sample lacks is a phrase by itself
         self.table = np.where(table > 0, table, -root).ravel()
-        self.root = width
 
     def phrases(self, blocks: np.ndarray, on: np.ndarray) -> np.ndarray:
         """Phrases of each block. blocks: a row for each place, a column for each block, the longest first; on: blocks with that place."""
-        state = np.full(blocks.shape[1], self.root, np.int32)
-        found = np.ones(blocks.shape[1], np.int32)
+        state = np.full(blocks.shape[1], self.none_open, np.int32)
+        found = np.zeros(blocks.shape[1], np.int32)
         for row, n in zip(blocks, on.tolist(), strict=True):
             next_ = self.table[state[:n] + row[:n]]
             found[:n] -= next_ >> 31
