@@ -55,7 +55,8 @@ def test_strings(spark):
     assert one(spark, S.left(F.lit("abc"), -5)) == ""
     assert [one(spark, S.chr_(F.lit(n))) for n in (65, 233, 8364, 128512)] == ["A", "é", "€", "😀"]
     assert one(spark, S.regexp_replace(F.lit("aXbX"), "(X)", r"<\1>")) == "a<X>bX"
-    assert one(spark, S.format_("%2$s|%-4s|%I", F.lit("a"), F.lit("b"), F.lit("C d"))) == "b|b   |\"C d\""
+    assert one(spark, S.format_("%3$s, %2$s, %s", F.lit("one"), F.lit("two"), F.lit("three"))) == "three, two, three"
+    assert one(spark, S.format_("%-4s|%3s|%I", F.lit("a"), F.lit("b"), F.lit("C d"))) == "a   |  b|\"C d\""
     assert one(spark, S.degree("sind", F.lit(30.0))) == 0.5
 
 
