@@ -195,6 +195,35 @@ def test_near_text_finds_resembling_texts(spark, none):
     assert near_text.one_of_each(none, "doc_id", "text").count() == 0
 
 
+def test_near_text_links_exactly_what_resembles(spark):
+    """Short texts, for which wide fingerprints' bits say little: 12 words of which the last differs (7 of 9 shingles), and 12 of 15."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(300):
+        w = [f"v{x}" for x in rng.choice(10**6, 40, replace=False)]
+        rows += [w[:12], [*w[:11], w[20]], w[:16], [*w[:16], *w[30:33]]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    sets = {i: frozenset(near_text.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    want = {}
+    for i in range(0, len(rows), 4):
+        want |= brute({k: sets[k] for k in range(i, i + 4)}, lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_text.groups(d, "doc_id", "text").collect()} == want
+
+
+def test_prefixes_meet_in_any_order():
+    rng = np.random.default_rng(9)
+    for n in range(1, 120):
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        for drop in range(n // 5 + 1):
+            b = a[rng.permutation(n)[drop:]]
+            if len(b) < 0.8 * n:
+                continue
+            common = (a[::3], rng.integers(3, 9, len(a[::3])))
+            one, two = (near_text.prefix(np.sort(x), 0.8, common) for x in (a, b))
+            assert len(np.intersect1d(one, two))
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u", None), (4, "u", ""), (5, "u\r\nX: y", "é" * 3_000_000), (6, "u", "\r\n\r\nWARC/1.0\r\n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
