@@ -19,15 +19,15 @@ KINDS = (
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     ("hex", re.compile(r"[0-9a-f]+"), 0, 24),
 )
-#: The method's own kind: long mixed tokens, reported where their ownership looks live.
+#: The method's own kind: long mixed tokens, reported unless they are widely copied examples.
 OWN = "live"
 ORDER = {kind: i for i, kind in enumerate([*(k[0] for k in KINDS), OWN])}
 LONG_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 #: Same matches as the base hex pattern with short runs dropped, found without stopping at each letter.
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-#: Bits a character from which a token looks random; owners from which a value is a widely copied example; most owners and
-#: repositories of one that looks live.
-RANDOM_BITS, EXAMPLE_OWNERS, LIVE_OWNERS, LIVE_REPOS = 3.2, 4, 1, 8
+#: Bits a character from which a token looks random; owners from which a value is a widely copied example; most owners of
+#: one that looks live, in however many repositories.
+RANDOM_BITS, EXAMPLE_OWNERS, LIVE_OWNERS = 3.2, 4, 1
 
 
 def entropy(x: str) -> float:
@@ -89,20 +89,20 @@ def ownership(candidates: DataFrame) -> DataFrame:
     """(value, n_owners, n_repos, verdict) from (value, owner, repo), counted over the whole corpus.
 
     Each repository, then each owner, is counted once by aggregates with partial sums, so a value that a third of all rows
-    hold is added up in parts. verdict: example where EXAMPLE_OWNERS or more have it, live where at most LIVE_OWNERS and
-    LIVE_REPOS do, else shared. A null owner or repository counts as one of its own.
+    hold is added up in parts. verdict: example where EXAMPLE_OWNERS or more have it, live where at most LIVE_OWNERS do,
+    else shared. A null owner or repository counts as one of its own.
     """
     repos = candidates.select("value", F.struct("owner").alias("o"), F.struct("repo").alias("r")).groupBy("value", "o", "r").agg(F.lit(1).alias("one"))
     owners = repos.groupBy("value", "o").agg(F.count("*").alias("n"))
     out = owners.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"))
-    live = (F.col("n_owners") <= LIVE_OWNERS) & (F.col("n_repos") <= LIVE_REPOS)
+    live = F.col("n_owners") <= LIVE_OWNERS
     return out.withColumn("verdict", F.when(F.col("n_owners") >= EXAMPLE_OWNERS, "example").when(live, "live").otherwise("shared"))
 
 
 def judged(docs: DataFrame, text: str, owner: str, repo: str, keep: dict[str, str]) -> DataFrame:
     """keep's columns and spans: an array of (start, rank, kind, end, random, verdict) for each finding, by start and then by kind.
 
-    Base findings are all there; the method's long tokens where they are live. Null and empty texts have none; repeated
+    Base findings are all there; the method's long tokens but for examples. Null and empty texts have none; repeated
     rows are separate; an empty table gives no rows. The scan is written, so texts are read once.
     """
     found = written(
@@ -115,7 +115,7 @@ def judged(docs: DataFrame, text: str, owner: str, repo: str, keep: dict[str, st
     each = each.select("__row", "owner", "repo", F.col("x.values").alias("value"), "x.kinds", "x.starts", "x.ends", "x.random")
     verdicts = written(ownership(each).select("value", "verdict"), "owners")
     with_verdict = each.drop("owner", "repo").join(verdicts, "value")
-    with_verdict = with_verdict.where((F.col("kinds") != OWN) | (F.col("verdict") == "live"))
+    with_verdict = with_verdict.where((F.col("kinds") != OWN) | (F.col("verdict") != "example"))
     rank = F.create_map(*(F.lit(x) for kv in ORDER.items() for x in kv))[F.col("kinds")]
     span = F.struct(F.col("starts").alias("start"), rank.alias("rank"), F.col("kinds").alias("kind"), F.col("ends").alias("end"), "random", "verdict")
     spans = with_verdict.groupBy("__row").agg(F.array_sort(F.collect_list(span)).alias("spans"))

@@ -263,6 +263,17 @@ def test_secret_base_spans_and_ownership(spark, docs, none):
     assert secrets.redacted(none, "text", "source", "doc_id").count() == 0
 
 
+def test_keys_of_many_documents_or_two_owners_are_found(spark):
+    """A key in many documents of its owner, one copied to a second owner, and an example that four have."""
+    many, copied, example = (f"ghp_{x}9Xq2LmZ7tRw4Kc8Vb1Ns6Yd3Hf5Jg0Pa" for x in ("One1", "Two2", "Ex4m"))
+    rows = [(many, "a")] * 12 + [(copied, "a"), (copied, "b")] + [(example, o) for o in "abcd"]
+    d = spark.createDataFrame([(i, f"Authorization: Bearer {k} end", "en", o, None, None, None) for i, (k, o) in enumerate(rows)], SCHEMA)
+    found = {r.doc_id: [(s["kind"], s["verdict"]) for s in r.spans] for r in secrets.judged(d, "text", "source", "doc_id", {"doc_id": "doc_id"}).collect()}
+    assert [found[i] for i in range(len(rows))] == [[("live", "live")]] * 12 + [[("live", "shared")]] * 2 + [[]] * 4
+    clean = {r.doc_id: r.text for r in secrets.redacted(d, "text", "source", "doc_id").collect()}
+    assert [clean[i] == "Authorization: Bearer [REDACTED] end" for i in range(len(rows))] == [True] * 14 + [False] * 4
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     rows, centre = [], rng.standard_normal((6, 16))
