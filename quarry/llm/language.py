@@ -16,28 +16,38 @@ MOST_LANGUAGES, SAMPLE_DOCS, DOC_CHARS, SAMPLE_CHARS, ALL_CHARS = 64, 400, 160,
 #: Texts are parsed in blocks of so many characters; a phrase ends with its block.
 BLOCK = 256
 FOLDS, HELD_OUT, UNDETERMINED = 4, 2, "und"
-#: More phrases a character than this, and a text is like none of the languages.
-STRANGE = 0.7
+#: Bound on the phrases a character of a text in a language: of so many labelled documents that weren't learned, so high a
+#: quantile, times WIDE plus SHORT a root of the text's characters. With fewer than LEAST_DOCS of them it is STRANGE.
+BOUND_DOCS, QUANTILE, WIDE, SHORT, LEAST_DOCS, STRANGE = 2000, 0.99, 1.75, 7.0, 100, 0.7
 
 
 def held_out(doc_id: str) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == HELD_OUT
 
 
+def labelled(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
+    """(lang, text, id) of the documents with a label and a letter."""
+    return docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+        F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.col(doc_id).alias("id")
+    )
+
+
+def place(seed: int) -> Column:
+    """A number from 0 to 1 by the id's hash."""
+    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+
+
 def sample(docs: DataFrame, doc_id: str, text: str, lang: str) -> dict[str, str]:
     """Text of each language from labelled documents with a letter, about SAMPLE_DOCS of them chosen by their id's hash.
 
     The hash's threshold follows from the language's count over all documents, so what reaches the driver is bounded.
     """
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
-        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("id")
-    )
+    known = labelled(docs, doc_id, text, lang)
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return {}
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, SAMPLE_DOCS / r["n"]))))
-    place = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    taken = known.where(place < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    taken = known.where(place(7) < F.coalesce(share[F.col("lang")], F.lit(0.0)))
     rows = taken.select("lang", F.substring("text", 1, DOC_CHARS).alias("text"), F.xxhash64("id").alias("at")).orderBy("lang", "at", "text").limit(4 * SAMPLE_DOCS * len(counts)).collect()
     out: dict[str, str] = {}
     most = min(SAMPLE_CHARS, ALL_CHARS // len(counts))
@@ -189,14 +199,36 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def bounds(docs: DataFrame, doc_id: str, text: str, lang: str, samples: dict[str, str]) -> dict[str, float]:
+    """The QUANTILE of phrases a character of each language, where LEAST_DOCS labelled documents tell it.
+
+    The documents are chosen by their id's hash, and those that sample may have learned from are left out.
+    """
+    known = labelled(docs, doc_id, text, lang)
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect() if r["lang"] in samples and r["n"] > SAMPLE_DOCS}
+    if not counts:
+        return {}
+    of = lambda most: F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, most / n))))[F.col("lang")]
+    rated = identify(known.where((place(7) >= of(SAMPLE_DOCS)) & (place(8) < of(BOUND_DOCS))), "text", samples, ("lang",)).where("lang = lang_pred")
+    rows = rated.groupBy("lang").agg(F.percentile_approx("phrase_rate", QUANTILE).alias("rate"), F.count("*").alias("n")).collect()
+    return {r["lang"]: r["rate"] for r in rows if r["n"] >= LEAST_DOCS}
+
+
 def recognised(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
     """docs whose text is in a language that their labels teach; a null label becomes the language found.
 
-    Texts without a letter go, and texts unlike all languages. With no label at all, nothing can be judged but the former.
+    Texts without a letter go, and texts unlike all languages: of more phrases a character than the labelled documents of
+    the language found have, with a margin that is the wider the shorter a text is. With no label at all, nothing can be
+    judged but the former.
     """
     samples = sample(docs, doc_id, text, lang)
     if not samples:
         return docs.where(F.col(text).rlike(r"\p{L}"))
+    usual = bounds(docs, doc_id, text, lang, samples)
     found = identify(docs, text, samples, tuple(docs.columns), ("__lang", "__score", "__rate"))
-    good = found.where((F.col("__lang") != UNDETERMINED) & (F.col("__rate") <= STRANGE))
+    most = F.lit(STRANGE)
+    if usual:
+        of = F.create_map(*(F.lit(x) for kv in usual.items() for x in kv))[F.col("__lang")]
+        most = F.coalesce(F.least(most, of * (WIDE + SHORT / F.sqrt(F.length(F.col(text).cast("string"))))), most)
+    good = found.where((F.col("__lang") != UNDETERMINED) & (F.col("__rate") <= most))
     return good.withColumn(lang, F.coalesce(lang, "__lang")).select(*docs.columns)

@@ -346,6 +346,21 @@ def test_language_accuracy_and_odd_texts(spark, docs, none):
     assert language.recognised(docs, "doc_id", "text", "lang").columns == docs.columns
 
 
+def test_unlike_all_languages(spark):
+    """Labelled documents stay; random letters, strings of consonants and a language without labels go."""
+    rng = np.random.default_rng(5)
+    drawn = lambda letters, n: "".join(rng.choice(list(letters), n))
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä"
+    turkish = "butun insanlar hur haysiyet ve haklar bakimindan esit dogarlar akil ve vicdana sahiptirler ve birbirlerine karsi kardeslik zihniyeti ile hareket etmelidirler"
+    odd = [drawn("abcdefghijklmnopqrstuvwxyz     ", n) for n in (150, 400, 3000)] + [drawn("bcdfghjklmnpqrstvwxz    ", n) for n in (150, 400, 3000)] + [finnish, turkish]
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    extra = spark.createDataFrame([(10**9 + i, x) for i, x in enumerate(odd)], "doc_id long, text string")
+    out = language.recognised(d.unionByName(extra, allowMissingColumns=True), "doc_id", "text", "lang")
+    kept = {r.doc_id for r in out.select("doc_id").collect()}
+    lettered = {r.doc_id for r in d.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
+    assert lettered <= kept and not any(x >= 10**9 for x in kept)
+
+
 def test_licenses(spark, docs, none):
     rows = {r.doc_id: r for r in licenses.scan(docs, "doc_id", "text").collect()}
     for i, t in enumerate(TEXTS):
