@@ -211,6 +211,17 @@ def test_near_text_links_exactly_what_resembles(spark):
     assert {r.doc_id: r.component_id for r in near_text.groups(d, "doc_id", "text").collect()} == want
 
 
+def test_near_text_links_no_pair_below(spark):
+    """300 pairs of short texts at 7 of 9 shingles: estimated by bits, some looked sure."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(300):
+        w = [f"v{x}" for x in rng.choice(10**6, 13, replace=False)]
+        rows += [" ".join(w[:12]), " ".join([*w[:11], w[12]])]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert near_text.groups(d, "doc_id", "text").where("doc_id <> component_id").count() == 0
+
+
 def test_prefixes_meet_in_any_order():
     rng = np.random.default_rng(9)
     for n in range(1, 120):
