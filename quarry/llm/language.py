@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from .common import slices, table, texts
 
-#: The bound of the fit: languages (the most frequent), documents and characters of each, and characters in all.
-MOST_LANGUAGES, SAMPLE_DOCS, DOC_CHARS, SAMPLE_CHARS, ALL_CHARS = 64, 400, 160, 50_000, 1_000_000
+#: The bound of the fit: documents of each language, characters of each of these, of a language, and in all; where languages
+#: are so many that they have to share the latter, fewest documents of each.
+SAMPLE_DOCS, DOC_CHARS, SAMPLE_CHARS, ALL_CHARS, FEWEST_DOCS = 400, 160, 50_000, 1_000_000, 16
 #: Texts are parsed in blocks of so many characters; a phrase ends with its block.
 BLOCK = 256
 FOLDS, HELD_OUT, UNDETERMINED = 4, 2, "und"
 #: Bound on the phrases a character of a text in a language: of so many labelled documents that weren't learned, so high a
 #: quantile, times WIDE plus SHORT a root of the text's characters. With fewer than LEAST_DOCS of them it is STRANGE.
-BOUND_DOCS, QUANTILE, WIDE, SHORT, LEAST_DOCS, STRANGE = 2000, 0.99, 1.75, 7.0, 100, 0.7
+BOUND_DOCS, QUANTILE, WIDE, SHORT, LEAST_DOCS, STRANGE = 2000, 0.99, 1.75, 6.0, 100, 0.7
 
 
 def held_out(doc_id: str) -> Column:
@@ -40,17 +41,22 @@ def place(seed: int) -> Column:
 def sample(docs: DataFrame, doc_id: str, text: str, lang: str) -> dict[str, str]:
     """Text of each language from labelled documents with a letter, about SAMPLE_DOCS of them chosen by their id's hash.
 
-    The hash's threshold follows from the language's count over all documents, so what reaches the driver is bounded.
+    The hash's threshold follows from the language's count over all documents, so what reaches the driver is bounded. Of
+    each document an excerpt is taken, at a place that its id's hash chooses. All languages are learned, from the less the
+    more there are.
     """
     known = labelled(docs, doc_id, text, lang)
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return {}
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, SAMPLE_DOCS / r["n"]))))
+    most = max(min(SAMPLE_CHARS, ALL_CHARS // len(counts)), DOC_CHARS)
+    each = min(SAMPLE_DOCS, max(2 * most // DOC_CHARS, FEWEST_DOCS))
+    share = F.map_from_entries(F.array(*(F.struct(F.lit(r["lang"]), F.lit(min(1.0, each / r["n"]))) for r in counts)))
     taken = known.where(place(7) < F.coalesce(share[F.col("lang")], F.lit(0.0)))
-    rows = taken.select("lang", F.substring("text", 1, DOC_CHARS).alias("text"), F.xxhash64("id").alias("at")).orderBy("lang", "at", "text").limit(4 * SAMPLE_DOCS * len(counts)).collect()
+    start = F.pmod(F.xxhash64("id", F.lit(11)), F.greatest(F.length("text") - DOC_CHARS + 1, F.lit(1))).cast("int") + 1
+    excerpt = F.substring("text", start, F.lit(DOC_CHARS))
+    rows = taken.select("lang", excerpt.alias("text"), F.xxhash64("id").alias("at")).orderBy("lang", "at", "text").limit(4 * each * len(counts)).collect()
     out: dict[str, str] = {}
-    most = min(SAMPLE_CHARS, ALL_CHARS // len(counts))
     for r in rows:
         out[r["lang"]] = (out.get(r["lang"], "") + " " + r["text"])[:most]
     return out

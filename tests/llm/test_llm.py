@@ -357,6 +357,13 @@ def test_language_accuracy_and_odd_texts(spark, docs, none):
     assert language.recognised(docs, "doc_id", "text", "lang").columns == docs.columns
 
 
+def test_samples_hold_every_language_and_all_places(spark):
+    rows = [(100 * k + i, ("opening " * 40 + f"word{k} " * 200) if k == 0 else f"talk{k} of language {k}", f"l{k:02}") for k in range(80) for i in range(30)]
+    samples = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert sorted(samples) == [f"l{k:02}" for k in range(80)]
+    assert "word0" in samples["l00"] and "opening" in samples["l00"]
+
+
 def test_unlike_all_languages(spark):
     """Labelled documents stay; random letters, strings of consonants and a language without labels go."""
     rng = np.random.default_rng(5)
