@@ -41,28 +41,71 @@ def distinct_on(df: DataFrame, by: Sequence[str], *keys: str) -> DataFrame:
 
 
 def not_in(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Rows of left whose key is surely not among right's, as NOT IN with nulls: a null that might match excludes.
+    """Rows of left whose key is surely not among right's, as NOT IN with nulls: fields compare one by one, a null might match.
 
-    With one key this is Spark's null-aware anti join; with several, fields compare one by one.
+    Only equality joins are made: rows are split by which of their fields are null, and the rows of two such patterns join on
+    the fields that are null in neither. Where no field is left, one row that says whether right has the pattern decides.
     """
-    a, b = left.alias("__l"), right.alias("__r")
-    tests = [F.col(f"__l.{x}") == F.col(f"__r.{y}") for x, y in pairs]
-    maybe = [t | F.col(f"__l.{x}").isNull() | F.col(f"__r.{y}").isNull() for t, (x, y) in zip(tests, pairs, strict=True)]
-    return a.join(b, reduce(Column.__and__, maybe), "left_anti")
+    xs, ys = [x for x, _ in pairs], [f"__r{i}" for i in range(len(pairs))]
+    keys = right.select(*(F.col(y).alias(r) for (_, y), r in zip(pairs, ys, strict=True)))
+    patterns = [[bool(n >> i & 1) for i in range(len(pairs))] for n in range(1 << len(pairs))]
+    is_ = lambda names, nulls: reduce(Column.__and__, [F.col(c).isNull() if n else F.col(c).isNotNull() for c, n in zip(names, nulls, strict=True)])
+    flags = F.broadcast(keys.agg(*(F.coalesce(F.bool_or(is_(ys, nulls)), F.lit(False)).alias(f"__p{k}") for k, nulls in enumerate(patterns))))
+    parts = []
+    for mine in patterns:
+        part, none_left = left.where(is_(xs, mine)), []
+        for k, theirs in enumerate(patterns):
+            both = [i for i in range(len(pairs)) if not mine[i] and not theirs[i]]
+            if both:
+                other = keys.where(is_(ys, theirs)).select(*(ys[i] for i in both))
+                part = part.join(other, reduce(Column.__and__, [F.col(xs[i]) == F.col(ys[i]) for i in both]), "left_anti")
+            else:
+                none_left.append(f"__p{k}")
+        if none_left:
+            part = part.crossJoin(flags).where(~reduce(Column.__or__, [F.col(c) for c in none_left]))
+        parts.append(part.select(*left.columns))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def compared_to_all(left: DataFrame, x: str, op: str, right: DataFrame, y: str) -> DataFrame:
+    """Rows of left with x op ALL (right's y): one row of right's extremes decides, a null among them as unknown."""
+    extremes = F.broadcast(right.agg(F.min(y).alias("__lo"), F.max(y).alias("__hi"), F.count("*").alias("__n"), F.count(y).alias("__known")))
+    lo, hi, c = F.col("__lo"), F.col("__hi"), F.col(x)
+    test = {">": lambda: c > hi, ">=": lambda: c >= hi, "<": lambda: c < lo, "<=": lambda: c <= lo, "=": lambda: (c == lo) & (c == hi)}[op]()
+    return left.crossJoin(extremes).where((F.col("__n") == 0) | ((F.col("__n") == F.col("__known")) & test)).select(*left.columns)
 
 
-def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, take: Sequence[str]) -> DataFrame:
+#: Ranges of time over which an as-of join deals each key's rows.
+CHUNKS = 64
+
+
+def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, take: Sequence[str], chunks: int = CHUNKS) -> DataFrame:
     """left with take's columns from the latest row of right at or before left's time, by equal keys; null where there is none.
 
-    Both sides are dealt by key once and read in one sorted pass; no pair of rows is made. At equal times right comes first,
-    and of right's rows at one time the largest values of take win.
+    Both sides are dealt by key and range of time once and read in one sorted pass; no pair of rows is made. What a range has
+    no earlier row for comes from the last row of the key's ranges before, of which there are at most chunks, so a key with a
+    third of all rows is no single task's. At equal times right comes first, and of right's rows at one time the largest
+    values of take win. Null keys and times match nothing.
     """
-    keep = left.columns
-    l = left.select(F.struct(*keep).alias("__row"), *by, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(right.select(F.struct(*take)).schema[0].dataType).alias("__take"))
-    r = right.select(F.lit(None).cast(l.schema["__row"].dataType).alias("__row"), *by, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.struct(*take).alias("__take"))
-    w = Window.partitionBy(*by).orderBy("__t", "__side", "__take").rowsBetween(Window.unboundedPreceding, 0)
+    known = lambda df, t: df.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in (*by, t)]))
+    keep, keys = left.columns, [F.col(k).alias(f"__k{i}") for i, k in enumerate(by)]
+    names = [f"__k{i}" for i in range(len(by))]
+    number = (lambda c: F.unix_micros(c.cast("timestamp"))) if "time" in dict(right.dtypes)[right_time] else (lambda c: c.cast("double"))
+    cuts = known(right, right_time).agg(F.percentile_approx(number(F.col(right_time)), [i / chunks for i in range(1, chunks)], 1000)).first()[0] if chunks > 1 else []
+    chunk = lambda c: F.size(F.filter(F.array(*(F.lit(x) for x in sorted(set(cuts)))), lambda x: x < number(c))) if cuts else F.lit(0)
+    r = known(right, right_time).select(F.lit(None).cast(left.select(F.struct(*keep)).schema[0].dataType).alias("__row"), *keys, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.struct(*take).alias("__take"))
+    l = known(left, left_time).select(F.struct(*keep).alias("__row"), *keys, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(r.schema["__take"].dataType).alias("__take"))
+    r, l = (x.withColumn("__chunk", chunk(F.col("__t"))) for x in (r, l))
+    w = Window.partitionBy(*names, "__chunk").orderBy("__t", "__side", "__take").rowsBetween(Window.unboundedPreceding, 0)
     found = l.unionByName(r).withColumn("__last", F.last("__take", ignorenulls=True).over(w)).where("__side = 1")
-    return found.select("__row.*", *(F.col(f"__last.{c}").alias(c) for c in take))
+    ends = r.groupBy(*names, "__chunk").agg(F.max(F.struct("__t", "__take")).alias("__end"))
+    # The last row of the ranges before each range, for every range of a key that has any: chunks rows a key at most.
+    later = F.explode(F.sequence(F.col("__chunk") + 1, F.lit(chunks)))
+    before = ends.where(F.col("__chunk") < chunks).select(*names, later.alias("__chunk"), "__end").groupBy(*names, "__chunk").agg(F.max("__end").alias("__before"))
+    found = found.join(before, [*names, "__chunk"], "left").withColumn("__last", F.coalesce("__last", "__before.__take"))
+    out = found.select("__row.*", *(F.col(f"__last.{c}").alias(c) for c in take))
+    rest = left.where(~reduce(Column.__and__, [F.col(c).isNotNull() for c in (*by, left_time)]))
+    return out.unionByName(rest.select(*keep, *(F.lit(None).cast(right.schema[c].dataType).alias(c) for c in take)))
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
@@ -76,6 +119,76 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return p.join(r, "__cell").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("__cell")
 
 
+def overlap_join(left: DataFrame, right: DataFrame, mine: tuple[str, str], theirs: tuple[str, str], width: float) -> DataFrame:
+    """Pairs of ranges [low, high) that overlap. A range stands in each cell of that width that it meets; a pair counts in its first.
+
+    Empty ranges and null bounds match nothing. Choose width near the usual range's length.
+    """
+    cell = lambda c: F.floor(c.cast("double") / width)
+    (a, b), (c, d) = mine, theirs
+    l = left.where(F.col(a) < F.col(b)).withColumn("__cell", F.explode(F.sequence(cell(F.col(a)), cell(F.col(b)))))
+    r = right.where(F.col(c) < F.col(d)).withColumn("__cell", F.explode(F.sequence(cell(F.col(c)), cell(F.col(d)))))
+    first = F.greatest(cell(F.col(a)), cell(F.col(c)))
+    return l.join(r, "__cell").where((F.col(a) < F.col(d)) & (F.col(c) < F.col(b)) & (F.col("__cell") == first)).drop("__cell")
+
+
+def distance_join(left: DataFrame, right: DataFrame, mine: tuple[str, str], theirs: tuple[str, str], most: float) -> DataFrame:
+    """Pairs of points at most that far apart, with dist. Points fall into squares of that side; one side also visits the eight around."""
+    square = lambda c: F.floor(F.col(c) / most)
+    l = left.withColumn("__i", square(mine[0])).withColumn("__j", square(mine[1]))
+    near = F.array(*(F.lit(x) for x in (-1, 0, 1)))
+    r = right.withColumn("__i", F.explode(F.transform(near, lambda x: x + square(theirs[0])))).withColumn("__j", F.explode(F.transform(near, lambda x: x + square(theirs[1]))))
+    dist = F.sqrt(F.pow(F.col(mine[0]) - F.col(theirs[0]), F.lit(2.0)) + F.pow(F.col(mine[1]) - F.col(theirs[1]), F.lit(2.0)))
+    return l.join(r, ["__i", "__j"]).withColumn("dist", dist).where(F.col("dist") <= most).drop("__i", "__j")
+
+
+def nearest_join(left: DataFrame, right: DataFrame, key: str, other: str, mine: tuple[str, str], theirs: tuple[str, str], k: int, reach: float, rounds: int = 40) -> DataFrame:
+    """(key, other, dist, place): the k nearest points of right for each of left, ties by other. key must be unique in left.
+
+    Points within a reach are joined by squares; who has too few yet takes part again with twice the reach, so each point
+    meets only some multiple of what it needs. Points with null coordinates meet nothing.
+    """
+    from ..sources.store import written
+
+    known = lambda df, xy: df.where(F.col(xy[0]).isNotNull() & F.col(xy[1]).isNotNull())
+    todo, right = known(left, mine).select(key, *mine), known(right, theirs).select(other, *theirs)
+    have = right.limit(k).count()
+    w, parts = Window.partitionBy(key).orderBy("dist", other), []
+    for _ in range(rounds):
+        found = written(distance_join(todo, right, mine, theirs, reach).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k))
+        full = found.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= have).select(key)
+        parts.append(found.join(full, key, "left_semi").select(key, other, "dist", "place"))
+        todo = written(todo.join(full, key, "left_anti"))
+        if not have or todo.isEmpty():
+            return reduce(DataFrame.unionAll, parts)
+        reach *= 2
+    raise ValueError("points are too far apart for the reach: choose a larger one")
+
+
+def similarity_join(left: DataFrame, right: DataFrame, mine: str, theirs: str, least: float) -> DataFrame:
+    """Pairs of words whose trigrams' similarity is at least that, with sim; each pair once.
+
+    Trigrams stand in order, and two sets so similar share one of the first n - ceil(least n) + 1 of each, so only those are
+    joined. Null and empty words match nothing.
+    """
+    from ..functions.kinds import similarity, trigrams
+
+    def side(df: DataFrame, word: str, n: str) -> DataFrame:
+        g = df.withColumn(n, trigrams(word))
+        # Hashed order: alphabetic order would put the blanks that most words begin with first.
+        spread = F.transform(F.array_sort(F.transform(F.col(n), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), lambda s: s.x)
+        return g.withColumn("__spread", spread).withColumn("__prefix", F.slice("__spread", F.lit(1), F.size(n) - F.ceil(F.size(n) * least - 1e-9).cast("int") + 1)).drop("__spread")
+
+    l, r = side(left, mine, "__g"), side(right, theirs, "__h")
+    l = l.withColumnRenamed("__prefix", "__p").withColumn("__gram", F.explode("__p"))
+    r = r.withColumnRenamed("__prefix", "__q").withColumn("__gram", F.explode("__q"))
+    pairs = l.join(r, "__gram").where(F.size("__g").between(F.size("__h") * least - 1e-9, F.size("__h") / least + 1e-9))
+    # A pair counts at the first of the grams where the two prefixes meet.
+    once = F.col("__gram") == F.get(F.array_intersect("__p", "__q"), F.lit(0))
+    found = pairs.where(once).withColumn("sim", similarity("__g", "__h"))
+    return found.where(F.col("sim") >= least).drop("__g", "__h", "__p", "__q", "__gram")
+
+
 def grouping_sets(df: DataFrame, sets: Sequence[Sequence[str]], *aggregates: Column) -> DataFrame:
     """Aggregates by each set, with columns that a set leaves out null; every () set gives a row on empty input too."""
     keys = list(dict.fromkeys(k for s in sets for k in s))
@@ -117,45 +230,71 @@ def array_agg(column: str, *keys: str) -> Column:
     return F.transform(F.array_sort(packed) if keys else packed, lambda x: x.v)
 
 
-def percentile_disc(column: str, share: float) -> Column:
-    """The first value at or past share of the sorted group; any sortable type."""
-    kept = F.sort_array(F.collect_list(column))
-    return F.get(kept, F.greatest(F.ceil(F.lit(share) * F.size(kept)).cast("int") - 1, F.lit(0)))
+def percentile_disc(df: DataFrame, by: Sequence[str], column: str, share: float, name: str) -> DataFrame:
+    """by's columns and name: the first value at or past share of each sorted group, of any sortable type; nulls don't count.
+
+    Equal values are counted first, so a group's distinct values alone meet in a window.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("__n"))
+    whole = Window.partitionBy(*by)
+    upto = F.sum("__n").over(whole.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("__upto", upto).withColumn("__all", F.sum("__n").over(whole))
+    return placed.where(F.col("__upto") >= F.greatest(F.lit(share) * F.col("__all"), F.lit(1))).groupBy(*by).agg(F.min(column).alias(name))
+
+
+#: A round of a recursion with at most so many rows is held by the driver; larger ones are written.
+HELD_ROWS = 10_000
+
+
+def _settled(df: DataFrame, large: bool) -> tuple[DataFrame, bool, bool]:
+    """(the rows, computed once; whether there are none; whether they were too many to hold)."""
+    from ..sources.store import written
+
+    if not large:
+        rows = df.limit(HELD_ROWS + 1).collect()
+        if len(rows) <= HELD_ROWS:
+            return df.sparkSession.createDataFrame(rows, df.schema), not rows, False
+    out = written(df)
+    return out, out.isEmpty(), True
 
 
 def recursive(base: DataFrame, step, all_rows: bool = False, most: int = 1000) -> DataFrame:
-    """WITH RECURSIVE: base, then step(of the last round's rows) until a round is empty. Without all_rows, rows that were seen go."""
+    """WITH RECURSIVE: base, then step(of the last round's rows) until a round is empty. Without all_rows, rows that were seen go.
+
+    Small rounds are held by the driver, and all rounds but the last few in one table, so that a round reads what was seen
+    once, in a few files.
+    """
     from ..sources.store import written
 
-    total = written(base if all_rows else base.distinct())
-    last = total
-    parts = [total]
+    last, empty, large = _settled(base if all_rows else base.distinct(), False)
+    parts = [last]
     for _ in range(most):
         new = step(last).select(*base.columns)
         if not all_rows:
             seen = reduce(DataFrame.unionAll, parts)
             new = new.distinct().join(seen, reduce(Column.__and__, [new[c].eqNullSafe(seen[c]) for c in base.columns]), "left_anti")
-        last = written(new)
-        if last.isEmpty():
+        last, empty, large = _settled(new, large)
+        if empty:
             return reduce(DataFrame.unionAll, parts)
         parts.append(last)
+        if len(parts) == 16:
+            parts = [written(reduce(DataFrame.unionAll, parts))]
     raise RecursionError(f"no end after {most} rounds")
 
 
 def connect_by(df: DataFrame, key: str, parent: str, start, delimiter: str = "~", most: int = 0) -> DataFrame:
     """(key, parent, level, branch) from start downwards; most levels if above 0, else a cycle is an error."""
     typed = df.select(F.col(key).alias("keyid"), F.col(parent).alias("parent_keyid"))
-    kind = typed.schema["keyid"].dataType
-    from ..sources.store import written
-
+    kind, large = typed.schema["keyid"].dataType, False
     root = df.sparkSession.range(1).select(F.lit(start).cast(kind).alias("keyid"), F.lit(None).cast(kind).alias("parent_keyid"), F.lit(0).alias("level"), F.array(F.lit(start).cast("string")).alias("path"))
     parts, last, level = [root], root, 0
     while not most or level < most:
         level += 1
         up = last.select(F.col("keyid").alias("__up"), "path")
         new = typed.join(up, F.col("parent_keyid") == F.col("__up")).select("keyid", "parent_keyid", F.lit(level).alias("level"), "path")
-        new = written(new.withColumn("cycle", F.array_contains("path", F.col("keyid").cast("string"))).withColumn("path", F.concat("path", F.array(F.col("keyid").cast("string")))))
-        if new.isEmpty():
+        new = new.withColumn("cycle", F.array_contains("path", F.col("keyid").cast("string"))).withColumn("path", F.concat("path", F.array(F.col("keyid").cast("string"))))
+        new, empty, large = _settled(new, large)
+        if empty:
             break
         if not most and not new.where("cycle").isEmpty():
             raise RecursionError("infinite recursion detected")
@@ -172,32 +311,52 @@ def crosstab(df: DataFrame, row: str, order: str, value: str, columns: int) -> D
     return out.select(F.col(row).alias("row_name"), *(F.col(str(i)).alias(f"category_{i}") for i in range(1, columns + 1)))
 
 
-def crosstab_by(df: DataFrame, row: str, category: str, value: str, categories: Sequence) -> DataFrame:
-    """A column for each category; null where a row name has none, the last value where it has several."""
-    out = df.groupBy(row).pivot(category, list(categories)).agg(F.last(value))
+def crosstab_by(df: DataFrame, row: str, category: str, value: str, categories: Sequence, *order: str) -> DataFrame:
+    """A column for each category; null where a row name has none, the last value by order where it has several, the largest of equals."""
+    out = df.groupBy(row).pivot(category, list(categories)).agg(F.max(F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), F.col(value).alias("v"))).getField("v"))
     return out.withColumnRenamed(row, "row_name")
 
 
+def _once(source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """source, failing when it runs if a key comes more than once; null keys are no repetition."""
+    w = Window.partitionBy(*keys)
+    null = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+    twice = F.raise_error(F.lit("ON CONFLICT DO UPDATE command cannot affect row a second time"))
+    counted = source.withColumn("__n", F.when(null, 1).otherwise(F.count("*").over(w)))
+    return counted.where(F.when(F.col("__n") > 1, twice.cast("boolean")).otherwise(F.lit(True))).drop("__n")
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], update: dict[str, Column] | None = None, where: Column | None = None) -> DataFrame:
     """INSERT ... ON CONFLICT (keys): the table as it is afterwards. update None does nothing on conflict.
 
-    In update and where, 'old.c' is the target's column and 'new.c' the source's. Keys must be unique in source.
+    In update and where, 'old.c' is the target's column and 'new.c' the source's. With update, a key that comes twice in
+    source is an error; without, the first of its rows (in the order of all columns) is inserted. Null keys never conflict.
     """
+    if update is not None:
+        source = _once(source, keys)
     old, new = target.alias("old"), source.alias("new")
     same = reduce(Column.__and__, [F.col(f"old.{k}") == F.col(f"new.{k}") for k in keys])
     fresh = new.join(old, same, "left_anti").select(*target.columns)
     if update is None:
-        return target.unionByName(fresh)
+        null = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*target.columns))
+        return target.unionByName(fresh.withColumn("__n", F.when(null, 1).otherwise(rank)).where("__n = 1").drop("__n"))
     hit = F.col(f"new.{keys[0]}").isNotNull() & (where if where is not None else F.lit(True))
     kept = old.join(new, same, "left").select(*(F.when(F.coalesce(hit, F.lit(False)), update[c]).otherwise(F.col(f"old.{c}")).alias(c) if c in update else F.col(f"old.{c}") for c in target.columns))
     return kept.unionByName(fresh)
 
 
 def updated(target: DataFrame, source: DataFrame, on: Column, update: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """UPDATE target SET ... FROM source WHERE on, columns named old.c and new.c: (the table afterwards, RETURNING the changed rows)."""
-    old, new = target.alias("old"), source.withColumn("__hit", F.lit(True)).alias("new")
-    joined = old.join(new, on, "left").withColumn("__changed", F.coalesce("__hit", F.lit(False)))
-    out = joined.select(*(F.when(F.col("__changed"), update[c]).otherwise(F.col(f"old.{c}")).alias(c) if c in update else F.col(f"old.{c}") for c in target.columns), "__changed")
+    """UPDATE target SET ... FROM source WHERE on, columns named old.c and new.c: (the table afterwards, RETURNING the changed rows).
+
+    A row changes once: of several matches that with the least row of source counts, in the order of its columns.
+    """
+    old, new = target.alias("old"), source.alias("new")
+    # Equal rows of target have the same matches, so a row itself is the key.
+    row = F.struct(*(F.col(f"old.{c}").alias(c) for c in target.columns))
+    hits = old.join(new, on).groupBy(row.alias("__at")).agg(F.min(F.struct(*(F.col(f"new.{c}") for c in source.columns))).alias("__new"))
+    joined = target.select(F.struct(*target.columns).alias("old")).join(hits, F.col("old").eqNullSafe(F.col("__at")), "left").select("old", F.col("__new").alias("new"))
+    out = joined.select(*(F.when(F.col("new").isNotNull(), update[c]).otherwise(F.col(f"old.{c}")).alias(c) if c in update else F.col(f"old.{c}") for c in target.columns), F.col("new").isNotNull().alias("__changed"))
     return out.drop("__changed"), out.where("__changed").drop("__changed")
 
 

@@ -33,19 +33,47 @@ def function_scan(t):
     return t.spark.range(1).select(F.posexplode(F.sequence(F.lit(3).cast("long"), F.lit(30).cast("long"), F.lit(3).cast("long"))).alias("o", "i")).select("i", (F.col("i") * F.col("i")).alias("sq"), (F.col("o") + 1).cast("long").alias("ordinality"))
 
 
-@query()
+def _share(rows, total, low, high):
+    """One row: whether the sample has no row twice and a size between those shares of the table."""
+    n = rows.agg(F.count("*").alias("n"), F.count_distinct(*rows.columns).alias("d")).crossJoin(total.agg(F.count("*").alias("all")))
+    return n.select((F.col("n") == F.col("d")).alias("once"), ((F.col("n") >= F.col("all") * low) & (F.col("n") <= F.col("all") * high)).alias("near"))
+
+
+_KEYS = "(SELECT count(*) = count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem)"
+
+
+@query(f"SELECT {_KEYS} AS once, true AS near")
 def sample_bernoulli(t):
-    return S.bernoulli(t.lineitem, 10, "l_orderkey", "l_linenumber", seed=7).select("l_orderkey", "l_linenumber")
+    """A tenth of the rows, each by itself."""
+    rows = S.bernoulli(t.lineitem, 10, seed=7).select("l_orderkey", "l_linenumber")
+    return _share(rows, t.lineitem, 0.08, 0.12)
 
 
-@query()
+@query("SELECT k, n > 0 AS any_, n = (SELECT count(*) FROM orders WHERE o_orderkey % 8 = k) AS whole FROM (SELECT o_orderkey % 8 AS k, count(*) AS n FROM orders WHERE o_orderkey % 8 IN (0, 1, 2, 3, 4, 5, 6, 7) GROUP BY 1)")
 def sample_system(t):
-    return S.system(t.orders, 100, seed=7).select("o_orderkey")
+    """Blocks: of a table in eight files, whole files are taken or left; both halves of the chance together are the table."""
+    path = S.new_path(t.spark, "blocks")
+    t.orders.withColumn("k", F.col("o_orderkey") % 8).repartition(8, "k").write.partitionBy("k").parquet(path)
+    table = t.spark.read.parquet(path)
+    taken, rest = S.system(table, 50, seed=7), S.system(table, 50, seed=7, rest=True)
+    n = taken.unionAll(rest).groupBy("k").agg(F.count("*").alias("n"))
+    size = t.orders.groupBy((F.col("o_orderkey") % 8).alias("k")).agg(F.count("*").alias("all"))
+    return n.join(size, "k").select(F.col("k").cast("long").alias("k"), (F.col("n") > 0).alias("any_"), (F.col("n") == F.col("all")).alias("whole"))
 
 
-@query("SELECT 100::BIGINT AS n")
+@query("SELECT 100::BIGINT AS n, 100::BIGINT AS d, (SELECT count(*) FROM orders) AS found")
 def sample_rows(t):
-    return S.system_rows(t.orders, 100, "o_orderkey").agg(F.count("*").alias("n"))
+    """Exactly 100 rows of the table, none twice."""
+    rows = S.system_rows(t.orders, 100, "o_orderkey")
+    n = rows.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("d"))
+    return n.crossJoin(t.orders.join(rows.select("o_orderkey"), "o_orderkey", "left_semi").unionAll(t.orders.join(rows.select("o_orderkey"), "o_orderkey", "left_anti")).agg(F.count("*").alias("found")))
+
+
+@query("SELECT true AS some, true AS once")
+def sample_time(t):
+    """What can be read in ten seconds, no row twice."""
+    rows = S.system_time(t.orders, 10_000).select("o_orderkey")
+    return rows.agg((F.count("*") > 0).alias("some"), (F.count("*") == F.count_distinct("o_orderkey")).alias("once"))
 
 
 @query("SELECT c_custkey, c_name, c_acctbal, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey = 1")
@@ -90,11 +118,20 @@ def join_not_in(t):
     return R.not_in(t.supplier, t.customer.where("c_acctbal > 9900"), [("s_nationkey", "c_nationkey")]).select("s_suppkey")
 
 
+@query("""SELECT o_orderkey FROM (SELECT *, nullif(o_custkey % 7, 0) AS a, nullif(o_orderstatus, 'P') AS b FROM orders) o WHERE NOT EXISTS (SELECT 1 FROM
+(SELECT nullif(c_nationkey, 3) AS x, CASE WHEN c_mktsegment = 'BUILDING' THEN 'F' WHEN c_mktsegment = 'MACHINERY' THEN 'O' END AS y FROM customer WHERE c_custkey % 50 = 1 AND c_nationkey < 4) c
+WHERE (a = x OR a IS NULL OR x IS NULL) AND (b = y OR b IS NULL OR y IS NULL))""")
+def join_not_in_rows(t):
+    """(a, b) NOT IN rows with nulls on both sides, field by field."""
+    o = t.orders.withColumns({"a": F.nullif(F.col("o_custkey") % 7, F.lit(0)), "b": F.nullif("o_orderstatus", F.lit("P"))})
+    y = F.when(F.col("c_mktsegment") == "BUILDING", "F").when(F.col("c_mktsegment") == "MACHINERY", "O")
+    c = t.customer.where("c_custkey % 50 = 1 AND c_nationkey < 4").select(F.nullif("c_nationkey", F.lit(3)).alias("x"), y.alias("y"))
+    return R.not_in(o, c, [("a", "x"), ("b", "y")]).select("o_orderkey")
+
+
 @query("SELECT s_suppkey FROM supplier WHERE s_nationkey > ALL (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)")
 def quantified_all(t):
-    most = t.nation.where("n_regionkey = 0").select("n_nationkey")
-    bad = F.col("s_nationkey") <= F.col("n_nationkey")
-    return t.supplier.join(most, bad | bad.isNull(), "left_anti").select("s_suppkey")
+    return R.compared_to_all(t.supplier, "s_nationkey", ">", t.nation.where("n_regionkey = 0"), "n_nationkey").select("s_suppkey")
 
 
 @query("""SELECT e.event_id, p.event_id AS before_id FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) p
@@ -104,12 +141,50 @@ def join_as_of(t):
     return R.as_of(t.events.where("event_type <> 'purchase'"), right, ["user_id"], "ts", "at", ["before_id"]).select("event_id", "before_id")
 
 
-@query("""SELECT e.event_id, l.g FROM events e JOIN (SELECT row_number() OVER (ORDER BY o_orderkey) AS g, o_totalprice / 1000 AS lo, o_totalprice / 1000 + 2 AS hi FROM orders WHERE o_orderkey <= 60) l
-ON e.value >= l.lo AND e.value < l.hi""")
+@query("""SELECT e.event_id, count(*) AS n, min(l.k) AS k FROM events e JOIN (SELECT o_orderkey AS k, o_totalprice / 1000 AS lo, o_totalprice / 1000 + 0.004 AS hi FROM orders) l
+ON e.value >= l.lo AND e.value < l.hi GROUP BY e.event_id""")
 def join_range(t):
-    w = Window.orderBy("o_orderkey")
-    r = t.orders.where("o_orderkey <= 60").select(F.row_number().over(w).cast("long").alias("g"), (F.col("o_totalprice") / 1000).alias("lo"), (F.col("o_totalprice") / 1000 + 2).alias("hi"))
-    return R.range_join(t.events, r, "value", "lo", "hi", 2.0).select("event_id", "g")
+    """All events by the ranges of all orders."""
+    r = t.orders.select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") / 1000).alias("lo"), (F.col("o_totalprice") / 1000 + 0.004).alias("hi"))
+    return R.range_join(t.events, r, "value", "lo", "hi", 0.05).groupBy("event_id").agg(F.count("*").alias("n"), F.min("k").alias("k"))
+
+
+@query("""SELECT a.k, count(*) AS n, min(b.k) AS first FROM (SELECT o_orderkey AS k, o_totalprice AS lo, o_totalprice + 3 AS hi FROM orders) a
+JOIN (SELECT c_custkey AS k, c_acctbal * 40 AS lo, c_acctbal * 40 + 5 AS hi FROM customer) b ON a.lo < b.hi AND b.lo < a.hi GROUP BY a.k""")
+def join_range_overlap(t):
+    """Ranges of orders that overlap ranges of customers (&&), each pair once."""
+    a = t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("lo"), (F.col("o_totalprice") + 3).alias("hi"))
+    b = t.customer.select(F.col("c_custkey").alias("k2"), (F.col("c_acctbal") * 40).alias("lo2"), (F.col("c_acctbal") * 40 + 5).alias("hi2"))
+    return R.overlap_join(a, b, ("lo", "hi"), ("lo2", "hi2"), 10.0).groupBy("k").agg(F.count("*").alias("n"), F.min("k2").alias("first"))
+
+
+@query("""SELECT p_partkey, count(*) AS n FROM part JOIN (SELECT c_custkey, c_acctbal / 20 AS x, c_nationkey * 20 AS y FROM customer) c
+ON sqrt(pow(p_size * 10 - x, 2) + pow(p_retailprice / 4 - y, 2)) <= 5 GROUP BY p_partkey""")
+def join_spatial(t):
+    """Points within a distance of others."""
+    a = t.part.select("p_partkey", (F.col("p_size") * 10).cast("double").alias("x"), (F.col("p_retailprice") / 4).alias("y"))
+    b = t.customer.select((F.col("c_acctbal") / 20).alias("x2"), (F.col("c_nationkey") * 20).cast("double").alias("y2"))
+    return R.distance_join(a, b, ("x", "y"), ("x2", "y2"), 5.0).groupBy("p_partkey").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT s_suppkey, c_custkey, rn AS place FROM (SELECT s_suppkey, c_custkey, row_number() OVER (PARTITION BY s_suppkey ORDER BY pow(s_acctbal - c_acctbal, 2) + pow(50 * s_nationkey - 50 * c_nationkey, 2), c_custkey) AS rn
+FROM supplier, customer) WHERE rn <= 3""")
+def join_nearest(t):
+    """The three nearest customers of each supplier, by balance and nation."""
+    a = t.supplier.select("s_suppkey", F.col("s_acctbal").alias("x"), (F.col("s_nationkey") * 50).cast("double").alias("y"))
+    b = t.customer.select("c_custkey", F.col("c_acctbal").alias("x2"), (F.col("c_nationkey") * 50).cast("double").alias("y2"))
+    return R.nearest_join(a, b, "s_suppkey", "c_custkey", ("x", "y"), ("x2", "y2"), 3, 100.0).select("s_suppkey", "c_custkey", F.col("place").cast("long").alias("place"))
+
+
+@query("""WITH g AS (SELECT p_partkey, p_name, list_distinct(list_transform(range(1, length(p_name) + 2), lambda i: substring('  ' || lower(p_name) || ' ', i, 3))) AS g FROM (SELECT p_partkey, split_part(p_name, ' ', 1) || p_size AS p_name FROM part)),
+b AS (SELECT s_suppkey, list_distinct(list_transform(range(1, length(w) + 2), lambda i: substring('  ' || lower(w) || ' ', i, 3))) AS h FROM (SELECT s_suppkey, split_part((SELECT min(p_name) FROM part WHERE p_partkey = s_suppkey), ' ', 1) || (s_suppkey % 50) AS w FROM supplier) WHERE w IS NOT NULL)
+SELECT s_suppkey, count(*) AS n FROM g, b WHERE len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) >= 0.6 GROUP BY s_suppkey""")
+def join_similarity(t):
+    """Words whose trigrams resemble each other by 0.6 or more."""
+    a = t.part.select("p_partkey", F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.col("p_size")).alias("w"))
+    words = t.part.select(F.col("p_partkey").alias("s_suppkey"), "p_name").join(t.supplier.select("s_suppkey"), "s_suppkey")
+    b = words.select("s_suppkey", F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), (F.col("s_suppkey") % 50)).alias("v"))
+    return R.similarity_join(a, b, "w", "v", 0.6).groupBy("s_suppkey").agg(F.count("*").alias("n"))
 
 
 # Aggregation
@@ -129,7 +204,8 @@ same_sql("agg_expression_keys", "SELECT l_linenumber % 3 AS g, l_quantity > 25 A
 
 @query("SELECT n_regionkey, percentile_disc(0.5) WITHIN GROUP (ORDER BY n_name) AS mid, first(n_name ORDER BY n_name) AS one FROM nation GROUP BY n_regionkey")
 def agg_percentile_disc_text(t):
-    return t.nation.groupBy("n_regionkey").agg(R.percentile_disc("n_name", 0.5).alias("mid"), F.min("n_name").alias("one"))
+    mid = R.percentile_disc(t.nation, ["n_regionkey"], "n_name", 0.5, "mid")
+    return mid.join(t.nation.groupBy("n_regionkey").agg(F.min("n_name").alias("one")), "n_regionkey")
 
 
 @query("""WITH c AS (SELECT n_regionkey, s_nationkey, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)
@@ -211,10 +287,10 @@ def recursive_union_all(t):
     return R.recursive(t.spark.sql("SELECT 1 AS n, 1L AS f"), lambda d: d.where("n < 15").select((F.col("n") + 1).alias("n"), (F.col("f") * (F.col("n") + 1)).alias("f")), all_rows=True)
 
 
-@query("""WITH RECURSIVE e AS (SELECT p_partkey AS k, p_partkey // 3 AS p FROM part WHERE p_partkey BETWEEN 2 AND 200),
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS k, p_partkey // 3 AS p FROM part),
 r(keyid, parent_keyid, level, branch) AS (SELECT 5::BIGINT, NULL::BIGINT, 0, '5' UNION ALL SELECT k, p, level + 1, branch || '~' || k FROM r JOIN e ON p = keyid) SELECT * FROM r""")
 def connect_by(t):
-    e = t.part.where("p_partkey BETWEEN 2 AND 200").select(F.col("p_partkey").alias("k"), F.expr("p_partkey div 3").alias("p"))
+    e = t.part.select(F.col("p_partkey").alias("k"), F.expr("p_partkey div 3").alias("p"))
     return R.connect_by(e, "k", "p", 5)
 
 
@@ -227,7 +303,7 @@ def crosstab(t):
 
 @query("SELECT l_returnflag AS row_name, max(n) FILTER (l_linestatus = 'F') AS \"F\", max(n) FILTER (l_linestatus = 'O') AS \"O\" FROM (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1")
 def crosstab_by(t):
-    return R.crosstab_by(t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")), "l_returnflag", "l_linestatus", "n", ["F", "O"])
+    return R.crosstab_by(t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")), "l_returnflag", "l_linestatus", "n", ["F", "O"], "n")
 
 
 # Changes
