@@ -72,12 +72,59 @@ def intersection(a, b) -> Column:
 
 
 def range_merge(a, b) -> Column:
-    """The smallest range that holds both."""
+    """The smallest range that holds both; an empty one adds nothing."""
     either = lambda x, y, f: F.when(x.isNotNull() & y.isNotNull(), f(x, y))
     lo, hi = either(_f(a, "lo"), _f(b, "lo"), F.least), either(_f(a, "hi"), _f(b, "hi"), F.greatest)
     inc = lambda r, c, x: (_f(r, c) == x) & _f(r, f"{c}_inc")
     no = F.lit(False)
-    return F.struct(lo.alias("lo"), hi.alias("hi"), F.coalesce(inc(a, "lo", lo) | inc(b, "lo", lo), no).alias("lo_inc"), F.coalesce(inc(a, "hi", hi) | inc(b, "hi", hi), no).alias("hi_inc"))
+    both = F.struct(lo.alias("lo"), hi.alias("hi"), F.coalesce(inc(a, "lo", lo) | inc(b, "lo", lo), no).alias("lo_inc"), F.coalesce(inc(a, "hi", hi) | inc(b, "hi", hi), no).alias("hi_inc"))
+    return F.when(is_empty(a), _c(b)).when(is_empty(b), _c(a)).otherwise(both)
+
+
+def union(a, b) -> Column:
+    """a + b; an error where a gap lies between them."""
+    together = is_empty(a) | is_empty(b) | overlap(a, b) | adjacent(a, b)
+    return F.when(together, range_merge(a, b)).otherwise(F.when(F.raise_error(F.lit("result of range union would not be contiguous")).cast("boolean"), range_merge(a, b)))
+
+
+def difference(a, b) -> Column:
+    """a - b; null for nothing left, an error where two parts would be."""
+    parts = ~F.coalesce(_f(b, "lo").isNull(), F.lit(False)) & F.coalesce((_f(a, "lo") < _f(b, "lo")) | _f(a, "lo").isNull(), F.lit(False)) & F.coalesce((_f(a, "hi") > _f(b, "hi")) | _f(a, "hi").isNull(), F.lit(False)) & _f(b, "hi").isNotNull() & overlap(a, b)
+    left = F.struct(_f(a, "lo").alias("lo"), _f(b, "lo").alias("hi"), _f(a, "lo_inc").alias("lo_inc"), (~_f(b, "lo_inc")).alias("hi_inc"))
+    right = F.struct(_f(b, "hi").alias("lo"), _f(a, "hi").alias("hi"), (~_f(b, "hi_inc")).alias("lo_inc"), _f(a, "hi_inc").alias("hi_inc"))
+    error = F.raise_error(F.lit("result of range difference would not be contiguous")).cast("boolean")
+    out = F.when(~overlap(a, b), _c(a)).when(has_range(b, a), F.lit(None)).when(parts, F.when(error, _c(a)))
+    return out.when(F.coalesce(_f(a, "lo") < _f(b, "lo"), _f(b, "lo").isNotNull()) | ((_f(a, "lo") == _f(b, "lo")) & _f(a, "lo_inc") & ~_f(b, "lo_inc")), left).otherwise(right)
+
+
+def lower_inf(r) -> Column:
+    return _f(r, "lo").isNull() & ~is_empty(r)
+
+
+def upper_inf(r) -> Column:
+    return _f(r, "hi").isNull() & ~is_empty(r)
+
+
+def not_right(a, b) -> Column:
+    """a &< b: a doesn't go beyond b's upper bound."""
+    beyond = _f(b, "hi").isNotNull() & F.coalesce((_f(a, "hi") > _f(b, "hi")) | ((_f(a, "hi") == _f(b, "hi")) & _f(a, "hi_inc") & ~_f(b, "hi_inc")), F.lit(True))
+    return ~beyond & ~is_empty(a) & ~is_empty(b)
+
+
+def not_left(a, b) -> Column:
+    """a &> b: a doesn't begin before b's lower bound."""
+    before_ = _f(b, "lo").isNotNull() & F.coalesce((_f(a, "lo") < _f(b, "lo")) | ((_f(a, "lo") == _f(b, "lo")) & _f(a, "lo_inc") & ~_f(b, "lo_inc")), F.lit(True))
+    return ~before_ & ~is_empty(a) & ~is_empty(b)
+
+
+def range_key(r) -> Column:
+    """What ranges compare and hash by: empty ones first, then lower bounds, then upper ones, infinite where null."""
+    empty = is_empty(r)
+    only = lambda x: F.when(~empty, x)
+    return F.struct(
+        (~empty).alias("some"), only(_f(r, "lo").isNotNull()).alias("lo_known"), only(_f(r, "lo")).alias("lo"), only((~_f(r, "lo_inc")) & _f(r, "lo").isNotNull()).alias("lo_out"),
+        only(_f(r, "hi").isNull()).alias("hi_open"), only(_f(r, "hi")).alias("hi"), only(_f(r, "hi_inc") & _f(r, "hi").isNotNull()).alias("hi_in"),
+    )
 
 
 # Network addresses (IPv4): text 'a.b.c.d/n'.
@@ -138,8 +185,12 @@ def distance(a, b) -> Column:
     return F.hypot(_f(a, "x") - _f(b, "x"), _f(a, "y") - _f(b, "y"))
 
 
+#: Fixed value: the largest double, the slope of a vertical line.
+LARGEST = 1.7976931348623157e308
+
+
 def slope(a, b) -> Column:
-    return F.when(_f(a, "x") == _f(b, "x"), F.lit(1.7976931348623157e308)).otherwise((_f(a, "y") - _f(b, "y")) / (_f(a, "x") - _f(b, "x")))
+    return F.when(_f(a, "x") == _f(b, "x"), F.lit(LARGEST)).otherwise((_f(a, "y") - _f(b, "y")) / (_f(a, "x") - _f(b, "x")))
 
 
 def box(a, b) -> Column:
@@ -189,6 +240,7 @@ def in_polygon(points, p) -> Column:
     return F.size(hits) % 2 == 1
 
 
+#: Fixed value: the earth's radius in metres.
 EARTH = 6378168.0
 
 
@@ -226,12 +278,58 @@ def cube_union(a, b) -> Column:
 # Key-value maps from text 'k=>v, ...'.
 
 
+#: One side of a pair: in quotes, where \ escapes, or bare.
+_HALF = r'(?:"(?:[^"\\]|\\.)*"|(?:[^\s,=>"\\]|\\.|=(?!>))+)'
+
+
 def hstore(s) -> Column:
-    """A map from text; null where the word NULL stands unquoted."""
-    pairs = F.regexp_extract_all(_c(s), F.lit(r'"?([^"=,\s]+)"?\s*=>\s*"?([^",]*)"?'), 1)
-    values = F.regexp_extract_all(_c(s), F.lit(r'"?([^"=,\s]+)"?\s*=>\s*("?[^",]*"?)'), 2)
-    clean = F.transform(values, lambda v: F.when(F.upper(F.trim(v)) != "NULL", F.regexp_replace(F.trim(v), '^"|"$', "")))
-    return F.map_from_arrays(pairs, clean)
+    """A map from text; null where the word NULL stands unquoted; the first of equal keys counts."""
+    pair = rf"(?s)({_HALF})\s*=>\s*({_HALF})"
+    plain = lambda x: F.regexp_replace(F.when(F.startswith(x, F.lit('"')), F.substr(x, F.lit(2), F.length(x) - 2)).otherwise(x), r"(?s)\\(.)", "$1")
+    keys = F.transform(F.regexp_extract_all(_c(s), F.lit(pair), 1), plain)
+    values = F.transform(F.regexp_extract_all(_c(s), F.lit(pair), 2), lambda v: F.when(F.upper(v) != "NULL", plain(v)))
+    entries = F.arrays_zip(keys.alias("key"), values.alias("value"))
+    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(F.transform(entries, lambda x: x.key), e.key) == i + 1))
+
+
+def map_text(m) -> Column:
+    """A map as text, keys in order of length and then of bytes."""
+    quoted = lambda x: F.concat(F.lit('"'), F.regexp_replace(x, r'(["\\])', r"\\$1"), F.lit('"'))
+    entries = F.array_sort(F.transform(F.map_entries(_c(m)), lambda e: F.struct(F.octet_length(e.key).alias("n"), e.key.alias("k"), e.value.alias("v"))))
+    return F.array_join(F.transform(entries, lambda e: F.concat(quoted(e.k), F.lit("=>"), F.coalesce(quoted(e.v), F.lit("NULL")))), ", ")
+
+
+def map_slice(m, keys: list[str]) -> Column:
+    return F.map_filter(_c(m), lambda k, v: k.isin(*keys))
+
+
+def map_defined(m, key: str) -> Column:
+    """The key is there with a value that isn't null."""
+    return F.try_element_at(_c(m), F.lit(key)).isNotNull()
+
+
+def map_has_all(m, keys: list[str]) -> Column:
+    """m ?& keys."""
+    return F.size(F.array_intersect(F.map_keys(_c(m)), F.array(*map(F.lit, keys)))) == len(set(keys))
+
+
+def map_has_any(m, keys: list[str]) -> Column:
+    """m ?| keys."""
+    return F.arrays_overlap(F.map_keys(_c(m)), F.array(*map(F.lit, keys)))
+
+
+def map_matrix(m) -> Column:
+    """hstore_to_matrix: (key, value) arrays."""
+    return F.transform(F.map_entries(_c(m)), lambda e: F.array(e.key, e.value))
+
+
+def map_json(m) -> Column:
+    return F.to_json(_c(m), {"ignoreNullFields": "false"})
+
+
+def map_minus_map(a, b) -> Column:
+    """a without the pairs that b has too."""
+    return F.map_filter(_c(a), lambda k, v: ~F.coalesce(F.map_contains_key(_c(b), k) & F.try_element_at(_c(b), k).eqNullSafe(v), F.lit(False)))
 
 
 def map_contains(a, b) -> Column:
@@ -325,13 +423,23 @@ STOP = ("a", "about", "all", "an", "and", "any", "are", "as", "at", "be", "but",
 
 
 def to_tsvector(s, stop: tuple[str, ...] = ()) -> Column:
-    """Lower-case words with their positions from 1; stop words count in positions but aren't kept."""
+    """Lower-case words with their positions from 1, one sort a text; stop words count in positions but aren't kept."""
     words = F.regexp_extract_all(F.lower(_c(s)), F.lit(r"([\p{L}\p{N}]+)"), 1)
-    placed = F.transform(words, lambda w, i: F.struct(w.alias("w"), (i + 1).alias("p")))
+    return lexemes(F.transform(words, lambda w, i: F.struct(w.alias("w"), (i + 1).alias("p"))), stop)
+
+
+def lexemes(placed, stop: tuple[str, ...] = ()) -> Column:
+    """A tsvector of an array of (w, p)."""
     if stop:
         placed = F.filter(placed, lambda x: ~x.w.isin(*stop))
-    lexemes = F.array_sort(F.array_distinct(F.transform(placed, lambda x: x.w)))
-    return F.transform(lexemes, lambda l: F.struct(l.alias("lexeme"), F.transform(F.filter(placed, lambda x: x.w == l), lambda x: x.p).alias("positions")))
+    # The sort is made once: what stands below refers to the lambda's variable.
+    return F.get(F.transform(F.array(F.sort_array(placed)), _runs), F.lit(0))
+
+
+def _runs(a: Column) -> Column:
+    starts = F.filter(F.transform(a, lambda x, i: F.when((i == 0) | (F.get(a, i - 1).w != x.w), i)), lambda i: i.isNotNull())
+    with_end = F.transform(F.array(starts), lambda st: F.transform(st, lambda i, k: F.struct(i.alias("i"), F.coalesce(F.get(st, k + 1), F.size(a)).alias("e"))))
+    return F.transform(F.get(with_end, F.lit(0)), lambda x: F.struct(F.get(a, x.i).w.alias("lexeme"), F.transform(F.slice(a, x.i + 1, x.e - x.i), lambda y: y.p).alias("positions")))
 
 
 def _tokens(q: str) -> list[str]:
@@ -403,10 +511,14 @@ def numnode(node) -> int:
     return 0 if node is None else 1 + sum(numnode(x) for x in node[1:] if isinstance(x, tuple))
 
 
+#: Fixed value: pi squared over six.
+RANK_NORM = 1.64493406685
+
+
 def ts_rank(vector, words: list[str], weight: float = 0.1) -> Column:
     """Word frequencies of a weight, each later place counting by its inverse square, over pi squared sixths."""
     one = lambda w: F.aggregate(
         F.transform(F.flatten(F.transform(F.filter(_c(vector), lambda x: x.lexeme == w), lambda x: x.positions)), lambda p, i: weight / F.pow((i + 1).cast("double"), F.lit(2.0))),
         F.lit(0.0), lambda s, x: s + x,
     )
-    return sum((one(w) for w in words[1:]), one(words[0])) / 1.64493406685 / len(words)
+    return sum((one(w) for w in words[1:]), one(words[0])) / RANK_NORM / len(words)

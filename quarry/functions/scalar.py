@@ -144,9 +144,21 @@ def quote_nullable(s) -> Column:
     return F.coalesce(quote_literal(s), F.lit("NULL"))
 
 
+#: Words that are quoted as identifiers.
+RESERVED = """all analyse analyze and any array as asc asymmetric authorization between bigint binary bit boolean both case cast char
+character check coalesce collate collation column concurrently constraint create cross current_catalog current_date current_role
+current_schema current_time current_timestamp current_user dec decimal default deferrable desc distinct do else end except exists
+extract false fetch float for foreign freeze from full grant greatest group grouping having ilike in initially inner inout int integer
+intersect interval into is isnull join lateral leading least left like limit localtime localtimestamp national natural nchar none not
+notnull null nullif numeric offset on only or order out outer overlaps overlay placing position precision primary real references
+returning right row select session_user setof similar smallint some substring symmetric table tablesample then time timestamp to
+trailing treat trim true union unique user using values varchar variadic verbose when where window with xmlattributes xmlconcat
+xmlelement xmlexists xmlforest xmlparse xmlpi xmlroot xmlserialize""".split()
+
+
 def quote_ident(s) -> Column:
     s = _c(s)
-    return F.when(s.rlike("^[a-z_][a-z0-9_$]*$"), s).otherwise(F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"')))
+    return F.when(s.rlike("^[a-z_][a-z0-9_]*$") & ~s.isin(RESERVED), s).otherwise(F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"')))
 
 
 def format_(pattern: str, *xs) -> Column:
@@ -268,11 +280,6 @@ def add_interval(t, x: Column) -> Column:
     return t + F.make_dt_interval(x.getField("days")) + F.make_dt_interval(secs=(x.getField("micros") / F.lit(1_000_000)).cast("decimal(18,6)"))
 
 
-def age_months(later, earlier) -> Column:
-    """The whole months of age(later, earlier)."""
-    return F.floor(F.months_between(_c(later), _c(earlier))).cast("int")
-
-
 def extract(field: str, t) -> Column:
     t = _c(t)
     year = F.year(t)
@@ -397,13 +404,5 @@ def json_has(j, key: str) -> Column:
     return F.coalesce(F.array_contains(F.json_object_keys(_c(j)), key), F.lit(False))
 
 
-def json_each_text(j) -> Column:
-    return F.explode(F.from_json(_c(j), "map<string,string>"))
-
-
-def json_minus(j, key: str) -> Column:
-    return F.to_json(F.map_filter(F.from_json(_c(j), "map<string,string>"), lambda k, v: k != key))
-
-
 def build_object(**kv) -> Column:
     return F.to_json(F.struct(*(_c(v).alias(k) for k, v in kv.items())), {"ignoreNullFields": "false"})

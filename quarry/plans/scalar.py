@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import json_text as J
 from ..functions import scalar as S
 from .registry import query, same_sql, scalars
 
@@ -83,7 +84,7 @@ scalars(
     mi=(lambda: S.add_interval("o_orderdate", S.interval(months=1, days=2, hours=3)), "o_orderdate + INTERVAL 1 month + INTERVAL 2 day + INTERVAL 3 hour"), md=(lambda: F.make_date(F.year("o_orderdate"), F.lit(2), F.lit(28)), "make_date(year(o_orderdate), 2, 28)"),
     ts=(lambda: F.make_timestamp_ntz(F.year("o_orderdate"), F.lit(3), F.lit(4), F.lit(5), F.lit(6), F.lit(7.5).cast("decimal(8,6)")), "make_timestamp(year(o_orderdate), 3, 4, 5, 6, 7.5)"), ov=(lambda: S.overlaps("o_orderdate", F.col("o_orderdate") + F.expr("INTERVAL 90 DAYS"), F.lit("1995-01-01").cast("timestamp_ntz"), F.lit("1995-06-01").cast("timestamp_ntz")), "o_orderdate < TIMESTAMP '1995-06-01' AND TIMESTAMP '1995-01-01' < o_orderdate + INTERVAL 90 day"),
     ic=(lambda: S.interval_key(S.interval(months=1)) == S.interval_key(S.interval(days=30)), "INTERVAL 1 month = INTERVAL 30 day"), jh=(lambda: S.justify_hours(S.interval(hours=50)).getField("days"), "2"), jd=(lambda: S.justify_days(S.interval(days=65)).getField("months"), "2"),
-    ag=(lambda: S.age_months("o_orderdate", F.lit("1992-01-15").cast("timestamp_ntz")), "datesub('month', TIMESTAMP '1992-01-15', o_orderdate)::INT"), tc=(lambda: S.to_char("o_orderdate", "YYYY-MM-DD HH24:MI:SS"), "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"), tm=(lambda: S.to_char("o_orderdate", "Dy Mon DD"), "strftime(o_orderdate, '%a %b %d')"),
+    tc=(lambda: S.to_char("o_orderdate", "YYYY-MM-DD HH24:MI:SS"), "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"), tm=(lambda: S.to_char("o_orderdate", "Dy Mon DD"), "strftime(o_orderdate, '%a %b %d')"),
     td=(lambda: F.to_date(S.to_char("o_orderdate", "DD/MM/YYYY"), S.template("DD/MM/YYYY")), "strptime(strftime(o_orderdate, '%d/%m/%Y'), '%d/%m/%Y')::DATE"), te=(lambda: F.timestamp_seconds(F.col("o_orderkey")).cast("timestamp_ntz"), "make_timestamp(o_orderkey * 1000000)"), tz=(lambda: F.from_utc_timestamp(F.col("o_orderdate").cast("timestamp"), "Asia/Tokyo").cast("timestamp_ntz"), "o_orderdate + INTERVAL 9 hour"),
     gl=(lambda: F.greatest("o_orderdate", F.lit("1995-01-01").cast("timestamp_ntz")), "greatest(o_orderdate, TIMESTAMP '1995-01-01')"),
 )
@@ -102,16 +103,17 @@ scalars(
 )
 
 
-@query("SELECT l_orderkey, l_linenumber, unnest([l_partkey, l_suppkey]) AS a, unnest([1, 2]) AS i FROM lineitem WHERE l_quantity = 1")
+@query("SELECT l_orderkey, l_linenumber, unnest([l_partkey, l_suppkey]) AS a, unnest([1]) AS i FROM lineitem")
 def fn_unnest(t):
-    x = t.lineitem.where("l_quantity = 1").select("l_orderkey", "l_linenumber", F.array("l_partkey", "l_suppkey").alias("a"), F.array(F.lit(1), F.lit(2)).alias("i"))
+    """Two arrays side by side, the shorter padded with null."""
+    x = t.lineitem.select("l_orderkey", "l_linenumber", F.array("l_partkey", "l_suppkey").alias("a"), F.array(F.lit(1)).alias("i"))
     return x.select("l_orderkey", "l_linenumber", S.unnest("a", "i"))
 
 
 scalars(
     "fn_json", "events", "event_id",
     k=(lambda: S.json_text("props", "k"), "props ->> 'k'"), no=(lambda: S.json_text("props", "zz"), "props ->> 'zz'"), pa=(lambda: S.json_text(F.lit('{"a": {"b": [1, {"c": "x"}]}}'), "a", "b", 1, "c"), "'x'"), ty=(lambda: S.json_typeof("props"), "lower(json_type(props))"), al=(lambda: F.json_array_length(F.lit("[1, 2, [3]]")), "json_array_length('[1, 2, [3]]')::INT"),
-    ks=(lambda: F.json_object_keys("props"), "json_keys(props)"), ha=(lambda: S.json_has("props", "k"), "list_contains(json_keys(props), 'k')"), mi=(lambda: S.json_minus("props", "k"), "'{}'"), bo=(lambda: S.build_object(id="event_id", t="event_type"), "'{\"id\":' || event_id || ',\"t\":\"' || event_type || '\"}'"),
+    ks=(lambda: F.json_object_keys("props"), "json_keys(props)"), ha=(lambda: S.json_has("props", "k"), "list_contains(json_keys(props), 'k')"), mi=(lambda: J.minus(F.concat(F.lit('{"n":'), "event_id", F.lit(',"p":'), "props", F.lit("}")), "n"), "'{\"p\":' || json(props)::VARCHAR || '}'"), bo=(lambda: S.build_object(id="event_id", t="event_type"), "'{\"id\":' || event_id || ',\"t\":\"' || event_type || '\"}'"),
 )
 same_sql("fn_xml", "SELECT n_nationkey, '<n>' || n_name || '</n>' AS element, '<!--' || n_name || '-->' AS comment FROM nation", "nation")
 

@@ -74,9 +74,9 @@ scalars(
 )
 
 
-@query("SELECT doc_id, regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])the([^\\p{L}\\p{N}]|$)') AND NOT regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])of([^\\p{L}\\p{N}]|$)') AS hit, regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])of[^\\p{L}\\p{N}]+the([^\\p{L}\\p{N}]|$)') AS phrase FROM documents WHERE n_chars < 600")
+@query("SELECT doc_id, regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])the([^\\p{L}\\p{N}]|$)') AND NOT regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])of([^\\p{L}\\p{N}]|$)') AS hit, regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])of[^\\p{L}\\p{N}]+the([^\\p{L}\\p{N}]|$)') AS phrase FROM documents")
 def text_search(t):
-    d = t.documents.where("n_chars < 600").select("doc_id", K.to_tsvector("text").alias("v"))
+    d = t.documents.select("doc_id", K.to_tsvector("text").alias("v"))
     return d.select("doc_id", K.ts_match("v", "the & !of").alias("hit"), K.ts_match("v", "of <-> the").alias("phrase"))
 
 

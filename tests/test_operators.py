@@ -87,3 +87,135 @@ def test_stream_windows(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("w").agg(F.sum("count")).first()[0] == 1000
+
+
+def test_as_of_with_nulls(spark):
+    left = spark.createDataFrame([(1, None, 5), (2, 1, 5), (3, 8, 5), (4, 1, None)], "i int, k int, t int")
+    right = spark.createDataFrame([(None, 1, 100), (1, 2, 200), (8, None, 300), (1, 5, 201), (1, 6, 202)], "k int, at int, v int")
+    for chunks in (1, 4):
+        assert {r.i: r.v for r in R.as_of(left, right, ["k"], "t", "at", ["v"], chunks).collect()} == {1: None, 2: 201, 3: None, 4: None}
+
+
+def test_as_of_carries_over_ranges(spark):
+    left = spark.range(100).select(F.lit(1).alias("k"), F.col("id").alias("t"))
+    right = spark.createDataFrame([(1, t, t) for t in (3, 4, 50, 97)], "k int, at long, v long")
+    got = {r.t: r.v for r in R.as_of(left, right, ["k"], "t", "at", ["v"], 16).collect()}
+    assert got == {t: max((v for v in (3, 4, 50, 97) if v <= t), default=None) for t in range(100)}
+
+
+def test_not_in_rows_and_plans(spark):
+    a = spark.createDataFrame([(1, 2), (1, None), (None, 2), (3, 4), (None, None)], "x int, y int")
+    for rows in ([], [(1, 2)], [(1, None)], [(None, 9)], [(None, None)], [(5, 6), (None, 4)]):
+        b = spark.createDataFrame(rows, "p int, q int")
+        surely = lambda u, v: any(m is not None and n is not None and m != n for m, n in zip(u, v, strict=True))
+        want = sorted((r for r in map(tuple, a.collect()) if all(surely(r, s) for s in rows)), key=repr)
+        assert sorted(map(tuple, R.not_in(a, b, [("x", "p"), ("y", "q")]).collect()), key=repr) == want
+    one = R.not_in(a.select("x"), a.select(F.col("y").alias("q")), [("x", "q")])
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti, (x" in plan and " OR " not in plan.split("LeftAnti")[1].split("\n")[0]  # an equality alone: no nested loop
+
+
+def test_update_and_upsert_change_a_row_once(spark):
+    target = spark.createDataFrame([(1, 10), (2, 20), (2, 20)], "k int, v int")
+    source = spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "k int, v int")
+    after, changed = R.updated(target, source, F.col("old.k") == F.col("new.k"), {"v": F.col("new.v")})
+    assert sorted(map(tuple, after.collect())) == [(1, 5), (2, 7), (2, 7)] and changed.count() == 3
+    with pytest.raises(Exception, match="second time"):
+        R.upsert(target.dropDuplicates(), source, ["k"], {"v": F.col("new.v")}).collect()
+    assert sorted(map(tuple, R.upsert(target.where("k = 1"), source.unionAll(source), ["k"]).collect())) == [(1, 10), (2, 7)]
+
+
+def test_percentile_disc_and_recursion_of_large_rounds(spark, monkeypatch):
+    df = spark.createDataFrame([("a", x) for x in "dbca"] + [("b", None)], "g string, x string")
+    assert [tuple(r) for r in R.percentile_disc(df, ["g"], "x", 0.5, "m").collect()] == [("a", "b")]
+    monkeypatch.setattr(R, "HELD_ROWS", 2)
+    out = R.recursive(spark.range(5).select(F.col("id").alias("k")), lambda d: d.select(((F.col("k") * 3 + 1) % 17).alias("k")))
+    seen, last = set(range(5)), set(range(5))
+    while last:
+        last = {(3 * k + 1) % 17 for k in last} - seen
+        seen |= last
+    assert sorted(r.k for r in out.collect()) == sorted(seen)
+
+
+def test_joins_on_odd_rows(spark):
+    a = spark.createDataFrame([(1, 0.0, 5.0), (2, 3.0, 3.0), (3, None, 9.0)], "i int, lo double, hi double")
+    b = a.select(F.col("i").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    assert [(r.i, r.j) for r in R.overlap_join(a, b, ("lo", "hi"), ("lo2", "hi2"), 1.5).collect()] == [(1, 1)]
+    p = spark.createDataFrame([(1, 0.0, 0.0), (2, 100.0, 0.0), (3, None, 0.0)], "i int, x double, y double")
+    q = p.select(F.col("i").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    assert sorted((r.i, r.j, r.place) for r in R.nearest_join(p, q, "i", "j", ("x", "y"), ("x2", "y2"), 2, 1.0).collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 2), (2, 2, 1)]
+    assert R.nearest_join(p, q.limit(0), "i", "j", ("x", "y"), ("x2", "y2"), 2, 1.0).count() == 0
+    w = spark.createDataFrame([("word",), ("wordy",), (None,), ("",), ("word",)], "w string")
+    v = w.withColumnRenamed("w", "v")
+    assert sorted((r.w, r.v) for r in R.similarity_join(w, v, "w", "v", 0.9).collect()) == [("word", "word")] * 4 + [("wordy", "wordy")]
+
+
+def test_copy_escapes_files_and_options(spark, tmp_path):
+    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
+    lines = spark.createDataFrame([("\\101\\x42c\tq\\\\n",), ("x\\\x00y\t\\N",), ("a\\zb\t",)], "value string")
+    assert [tuple(r) for r in store.copy_parse(lines, schema).collect()] == [("ABc", "q\\n"), ("x\x00y", None), ("azb", "")]
+    rows = [("tab\there", None), ("", "q\"uo,te"), (None, "line\nend")]
+    df = spark.createDataFrame(rows, schema)
+    for kind in ("text", "csv"):
+        store.copy_to(df, str(tmp_path / kind), kind)
+        assert set(map(tuple, store.copy_from(spark, str(tmp_path / kind), schema, kind).collect())) == set(rows)
+    (tmp_path / "f.csv").write_text('"",x\n,"y"\n')
+    read = lambda **k: [tuple(r) for r in store.copy_from(spark, str(tmp_path / "f.csv"), schema, "csv", **k).collect()]
+    assert read() == [("", "x"), (None, "y")] and read(force_null=("a",)) == [(None, "x"), (None, "y")] and read(force_not_null=("a",)) == [("", "x"), ("", "y")]
+
+
+def test_samples_take_repeated_rows_apart(spark, tmp_path):
+    spark.createDataFrame([(1,)] * 2000, "k int").write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    assert 100 < store.bernoulli(t, 10, seed=1).count() < 300 and store.bernoulli(t, 0).count() == 0
+
+
+def test_golden_json_ranges_maps_ages_and_identifiers(spark):
+    from quarry.functions import json_text as J
+    from quarry.functions import times as X
+
+    j = F.lit('{"a": 1, "k": 2, "n": {"b": [1, null]}}')
+    assert one(spark, J.minus(j, "k")) == '{"a":1,"n":{"b":[1,null]}}'
+    assert one(spark, J.minus_path(j, ["n", "b", "-1"])) == '{"a": 1, "k": 2, "n": {"b": [1]}}'
+    assert one(spark, J.contains(F.lit('[1,[2,"x"],true]'), F.lit('[["x"]]'))) and not one(spark, J.contains(F.lit("[true]"), F.lit("1")))
+    empty, r = K.range_(F.lit(1), F.lit(1)), K.range_(F.lit(1), F.lit(2))
+    assert one(spark, K.range_merge(empty, K.range_(F.lit(4), F.lit(5))).getField("lo")) == 4 and one(spark, K.union(empty, r).getField("hi")) == 2
+    for f in (K.union(r, K.range_(F.lit(5), F.lit(6))), K.difference(K.range_(F.lit(1), F.lit(9)), K.range_(F.lit(3), F.lit(5)))):
+        with pytest.raises(Exception, match="contiguous"):
+            one(spark, f)
+    assert one(spark, K.hstore(F.lit('"a"=>"x, y", b=>NULL, "c \\"q"=>"NULL",a=>2, d=>e=f'))) == {"a": "x, y", "b": None, 'c "q': "NULL", "d": "e=f"}
+    day = lambda x: F.lit(x).cast("timestamp_ntz")
+    assert one(spark, X.interval_text(X.age(day("2001-02-28"), day("2001-01-31")))) == "28 days"
+    assert one(spark, X.interval_text(X.age(day("2001-04-10"), day("1957-06-13")))) == "43 years 9 mons 27 days"
+    assert [one(spark, S.quote_ident(F.lit(x))) for x in ("select", "abc", "Abc", "a$b")] == ['"select"', "abc", '"Abc"', '"a$b"']
+
+
+def test_numbers_as_text(spark):
+    from quarry.functions import numbers as N
+
+    cases = {  # fixed values: template, number and text
+        ("-0.1", "99.99"): "  -.10", ("-0.1", "FM9.99"): "-.1", ("0.1", "0.9"): " 0.1", ("12", "9990999.9"): "    0012.0", ("485", "999"): " 485", ("-485", "999"): "-485",
+        ("1485", "9,999"): " 1,485", ("148.5", "999.999"): " 148.500", ("148.5", "FM999.999"): "148.5", ("3148.5", "9G999D999"): " 3,148.500", ("-485", "999S"): "485-",
+        ("-485", "999MI"): "485-", ("485", "FM999MI"): "485", ("485", "PL999"): "+ 485", ("485", "SG999".replace("SG", "S")): "+485", ("-485", "999PR"): "<485>", ("485", "RN"): "        CDLXXXV", ("5.2", "FMRN"): "V", ("12", "99V999"): " 12000", ("1234", "999"): " ###",
+    }
+    assert {k: one(spark, N.to_char(F.lit(k[0]).cast("decimal(20,6)"), k[1])) for k in cases} == cases
+    assert float(one(spark, N.to_number(F.lit("-12,454.8"), "99G999D9"))) == -12454.8
+    assert one(spark, N.money_words(F.lit(1234567.89))) == "One million two hundred thirty four thousand five hundred sixty seven dollars and eighty nine cents"
+    for f in (N.add(F.lit(2147483647), F.lit(1)), N.divide(F.lit(1.0), F.lit(0.0)), N.divide(F.lit(1e308), F.lit(1e-10)), N.bits_and(F.lit("10"), F.lit("1"))):
+        with pytest.raises(Exception, match="range|zero|sizes"):
+            one(spark, f)
+
+
+def test_bytes_and_identifiers(spark):
+    from quarry.functions import bytes_ as B
+
+    raw = F.unhex(F.lit("1234567800"))
+    assert one(spark, F.hex(B.set_byte(raw, 4, 64))) == "1234567840" and one(spark, B.get_byte(raw, 4)) == 0 and one(spark, B.get_bit(raw, 33)) == 0 and one(spark, F.hex(B.set_bit(raw, 32, 1))) == "1234567801"
+    assert one(spark, F.hex(B.btrim_bytes(F.unhex(F.lit("0054726F6D00")), b"\x00"))) == "54726F6D"
+    assert one(spark, B.encode(B.decode(F.lit("a\\000\\377\\\\b"), "escape"), "escape")) == "a\\000\\377\\\\b"
+    assert one(spark, B.parse_ident(F.lit('Schem."Some ""T"" x".c'))) == ["schem", 'Some "T" x', "c"]
+    with pytest.raises(Exception, match="identifier"):
+        one(spark, B.parse_ident(F.lit("1x")))
+    assert one(spark, B.substring_similar(F.lit("abcdefg"), 'a#"(b_d)#"%', "#")) == "bcd" and one(spark, B.substring_similar(F.lit("abcdefg"), '#"(b_d)#"%', "#")) is None
+    assert one(spark, B.regexp_all(F.lit("foobarbequebaz"), "(b[^b]+)(b[^b]+)")) == [["bar", "beque"]]
+    assert one(spark, B.unaccent(F.lit("Hôtel Œuvre ß"))) == "Hotel OEuvre ss" and len(one(spark, B.name(F.lit("é" * 40)))) == 31
