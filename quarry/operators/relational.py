@@ -373,3 +373,34 @@ def refreshed(stored: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataF
     both = a.join(b, list(keys), "full")
     action = F.when(F.col("o").isNull(), "insert").when(F.col("n").isNull(), "delete").when(~F.col("o").eqNullSafe(F.col("n")), "update")
     return both.withColumn("action", action).where("action IS NOT NULL").select(*keys, F.coalesce("n", "o").alias("r"), "action").select(*keys, "r.*", "action")
+
+
+def rollup(*keys: str) -> list[list[str]]:
+    """The sets of ROLLUP."""
+    return [list(keys[:n]) for n in range(len(keys), -1, -1)]
+
+
+def cube(*keys: str) -> list[list[str]]:
+    """The sets of CUBE."""
+    return [[k for i, k in enumerate(keys) if n >> i & 1] for n in reversed(range(1 << len(keys)))]
+
+
+def grouping_product(*parts: Sequence[Sequence[str]]) -> list[list[str]]:
+    """The sets of several items of GROUP BY: each of one with each of the others, a key once."""
+    return reduce(lambda a, b: [list(dict.fromkeys([*x, *y])) for x in a for y in b], parts, [[]])
+
+
+def grouping_nested(*parts: Sequence[Sequence[str]]) -> list[list[str]]:
+    """The sets of GROUPING SETS over other sets: one list after another."""
+    return [list(s) for p in parts for s in p]
+
+
+def union_resolved(*arms: DataFrame, names: Sequence[str], all_rows: bool = False) -> DataFrame:
+    """A union whose columns have the type that all arms' go to; a null literal goes to any."""
+    return_ = reduce(DataFrame.unionAll, [a.toDF(*names) for a in arms])
+    return return_ if all_rows else return_.distinct()
+
+
+def grouped_by_key(df: DataFrame, key: Sequence[str], dependent: Sequence[str], *aggregates: Column) -> DataFrame:
+    """Groups of a key with columns that depend on it, which don't widen what is shuffled and compared."""
+    return df.groupBy(*key).agg(*(F.any_value(c).alias(c) for c in dependent), *aggregates)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import json_text as J
 from ..functions import scalar as S
-from .registry import query, same_sql, scalars
+from ..functions import xml as X
+from .registry import query, scalars
 
 scalars(
     "fn_case_and_pad", "part", "p_partkey",
@@ -115,7 +116,18 @@ scalars(
     k=(lambda: S.json_text("props", "k"), "props ->> 'k'"), no=(lambda: S.json_text("props", "zz"), "props ->> 'zz'"), pa=(lambda: S.json_text(F.lit('{"a": {"b": [1, {"c": "x"}]}}'), "a", "b", 1, "c"), "'x'"), ty=(lambda: S.json_typeof("props"), "lower(json_type(props))"), al=(lambda: F.json_array_length(F.lit("[1, 2, [3]]")), "json_array_length('[1, 2, [3]]')::INT"),
     ks=(lambda: F.json_object_keys("props"), "json_keys(props)"), ha=(lambda: S.json_has("props", "k"), "list_contains(json_keys(props), 'k')"), mi=(lambda: J.minus(F.concat(F.lit('{"n":'), "event_id", F.lit(',"p":'), "props", F.lit("}")), "n"), "'{\"p\":' || json(props)::VARCHAR || '}'"), bo=(lambda: S.build_object(id="event_id", t="event_type"), "'{\"id\":' || event_id || ',\"t\":\"' || event_type || '\"}'"),
 )
-same_sql("fn_xml", "SELECT n_nationkey, '<n>' || n_name || '</n>' AS element, '<!--' || n_name || '-->' AS comment FROM nation", "nation")
+_ESC = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_odd = lambda: F.concat("n_name", F.lit(" <&> "), "n_nationkey")
+_ODD = _ESC.format("n_name || ' <&> ' || n_nationkey")
+scalars(
+    "fn_xml", "nation", "n_nationkey",
+    el=(lambda: X.element("n", {"id": "n_nationkey", "no": F.nullif("n_regionkey", F.lit(1))}, X.escaped(_odd()), X.element("e")), f"'<n id=\"' || n_nationkey || '\"' || CASE WHEN n_regionkey = 1 THEN '' ELSE ' no=\"' || n_regionkey || '\"' END || '>' || {_ODD} || '<e/></n>'"),
+    fo=(lambda: X.forest(a=_odd(), b=F.nullif("n_regionkey", F.lit(1))), f"'<a>' || {_ODD} || '</a>' || CASE WHEN n_regionkey = 1 THEN '' ELSE '<b>' || n_regionkey || '</b>' END"), co=(lambda: X.comment("n_name"), "'<!--' || n_name || '-->'"), pi=(lambda: X.instruction("php", "n_name"), "'<?php ' || n_name || '?>'"),
+    ro=(lambda: X.root(F.concat(F.lit('<?xml version="1.1"?><a>'), "n_nationkey", F.lit("</a>")), standalone="yes"), "'<?xml version=\"1.0\" standalone=\"yes\"?><a>' || n_nationkey || '</a>'"), ca=(lambda: X.concat(F.nullif(F.lit("<a/>"), F.when(F.col("n_regionkey") == 1, "<a/>")), X.element("b")), "CASE WHEN n_regionkey = 1 THEN '' ELSE '<a/>' END || '<b/>'"),
+    wd=(lambda: X.is_well_formed(F.concat(F.lit("<a>"), "n_name", F.when(F.col("n_regionkey") == 1, "</b>").otherwise("</a>"))), "n_regionkey <> 1"), wc=(lambda: X.is_well_formed(F.concat("n_name", F.lit("<x/>"), F.when(F.col("n_regionkey") == 1, "&").otherwise("")), document=False), "n_regionkey <> 1"),
+    pa=(lambda: X.parse(F.concat(F.lit("<a>"), "n_name", F.lit("</a>"))), "'<a>' || n_name || '</a>'"), xp=(lambda: X.xpath("/s:r/s:n/text()", F.concat(F.lit('<r xmlns="u"><n>'), X.escaped(_odd()), F.lit("</n><n>2</n></r>")), {"s": "u"}), "[n_name || ' <&> ' || n_nationkey, '2']"),
+    xa=(lambda: X.xpath("//n/@id", X.element("r", None, X.element("n", {"id": "n_nationkey"}))), "[n_nationkey::VARCHAR]"), xe=(lambda: X.xpath_exists("/r/n[@id='3']", X.element("r", None, X.element("n", {"id": "n_nationkey"}))), "n_nationkey = 3"), tx=(lambda: X.element("row", None, X.forest(n_nationkey="n_nationkey", n_name="n_name")), "'<row><n_nationkey>' || n_nationkey || '</n_nationkey><n_name>' || n_name || '</n_name></row>'"),
+)
 
 
 @query("SELECT n_nationkey, n_name AS name, [n_name] AS names, true AS there FROM nation")

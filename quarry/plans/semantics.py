@@ -87,13 +87,6 @@ def text_statistics(t):
     return per.groupBy("word").agg(F.count("*").alias("ndoc"), F.sum("n").alias("nentry"))
 
 
-@query("SELECT n_name, i AS place, i >= 3 AS late FROM (SELECT n_name, CASE n_name WHEN 'x' THEN 1 ELSE n_regionkey + 1 END AS i FROM nation)")
-def enum_order(t):
-    """Labels compare by their place in a declaration."""
-    place = F.col("n_regionkey") + 1
-    return t.nation.select("n_name", place.alias("place"), (place >= 3).alias("late"))
-
-
 @query("SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building'")
 def case_insensitive(t):
     return t.customer.where(F.collate("c_mktsegment", "UTF8_LCASE") == F.lit("Building")).select("c_custkey")

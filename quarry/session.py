@@ -28,12 +28,16 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Rows that go to Python at once: some MB of documents, in the JVM's buffers and in the worker.
+ARROW_ROWS = 1000
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for an application."""
+    """Send this package to the executors' Python workers, once for an application, and bound what they get at once."""
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(ARROW_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
     if context.applicationId in _shipped:
         return
     here = Path(__file__).resolve().parent
