@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import mmap
 import re
-import tempfile
 from collections.abc import Iterable
+from functools import cache
+from itertools import islice
 
 import numpy as np
 import regex
@@ -21,7 +22,18 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 DOUBTFUL = re.compile("[\x1c-\x1f՘-֏࢏౜೜₏₝-₟꟎-꭭\U00010000-\U0010ffff]")
 #: Where a cut before each single space isn't always a cut between words.
 SPACED = re.compile(r"\s |[\s\x00]\Z|\x00")
-CACHED = 300_000
+#: Pieces whose ids a worker keeps, and most characters of one: some 50 MB.
+CACHED, LONGEST = 200_000, 64
+
+
+def bounded(kept: dict, latest: Iterable, fresh: list, most: int, longest: int) -> dict:
+    """kept without long keys; beyond most keys only those of the latest texts, where frequent ones are, and of these most at most."""
+    for x in fresh:
+        if len(x) > longest:
+            kept.pop(x, None)
+    if len(kept) <= most:
+        return kept
+    return dict(islice(((x, kept[x]) for x in latest if x in kept), most // 2))
 
 
 def characters_of_bytes() -> dict[str, int]:
@@ -130,11 +142,9 @@ class Lexicon:
         head = json.dumps({"root": new[0], "bytes": [len(x) for x in parts]}).encode().ljust(256)
         return head + b"".join(x + bytes(-len(x) % 8) for x in parts)
 
-    def __init__(self, blob: bytes):
-        """Maps the file into memory from a temporary file that has no name any more, so nothing is left behind."""
-        with tempfile.TemporaryFile() as f:
-            f.write(blob)
-            f.flush()
+    def __init__(self, path: str):
+        """Maps the file into memory: the workers of a machine share its pages."""
+        with open(path, "rb") as f:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         head, at = json.loads(self.map[:256]), 256
         self.root = head["root"]
@@ -181,17 +191,14 @@ class Lexicon:
 class Encoder:
     """Encodes whole texts as the tokenizers library does, and keeps the ids of recent pieces between spaces."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: bytes):
-        self.vocabulary, self.lexicon = vocabulary, Lexicon(lexicon)
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
+        self.vocabulary, self.lexicon = vocabulary, lexicon
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         v, plans, wanted, firsts, words = self.vocabulary, [], set(), set(), set()
-        for cache in (self.pieces, self.words):
-            if len(cache) > CACHED:
-                cache.clear()
         for text in texts:
             if DOUBTFUL.search(text) or v.special.search(text):
                 plans.append((None, text))
@@ -203,12 +210,16 @@ class Encoder:
                 firsts.add("\0" + first)
                 wanted.update(rest)
                 plans.append((self.pieces, ["\0" + first, *rest]))
-        self._follow(list(wanted.difference(self.pieces)))
-        for x in firsts.difference(self.pieces):
+        fresh, first, new = list(wanted.difference(self.pieces)), list(firsts.difference(self.pieces)), list(words.difference(self.words))
+        self._follow(fresh)
+        for x in first:
             self.pieces[x] = raw(v.core.encode_ordinary(x[1:]))
-        for x in words.difference(self.words):
+        for x in new:
             self.words[x] = raw(v.core.encode_single_piece(x.encode()))
-        return [raw(v.library.encode(x, add_special_tokens=False).ids) if cache is None else b"".join(map(cache.__getitem__, x)) for cache, x in plans]
+        out = [raw(v.library.encode(x, add_special_tokens=False).ids) if cache is None else b"".join(map(cache.__getitem__, x)) for cache, x in plans]
+        self.pieces = bounded(self.pieces, wanted, fresh + first, CACHED, LONGEST)
+        self.words = bounded(self.words, words, new, CACHED // 4, LONGEST)
+        return out
 
     def _follow(self, fresh: list[str]) -> None:
         """Keep the ids of pieces that follow a space: from the lexicon, else merged exactly, all in one call."""
@@ -230,20 +241,7 @@ def raw(ids: list[int]) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
-_vocabularies: dict[str, Vocabulary] = {}
-_encoders: dict[tuple, Encoder] = {}
-
-
+@cache
 def vocabulary(path: str) -> Vocabulary:
-    """A Python worker reads each file once."""
-    if path not in _vocabularies:
-        _vocabularies[path] = Vocabulary(path)
-    return _vocabularies[path]
-
-
-def encoder(path: str, lexicon: bytes, key: str) -> Encoder:
-    """The worker's encoder for a lexicon; key names it. Only the latest is kept."""
-    if (path, key) not in _encoders:
-        _encoders.clear()
-        _encoders[path, key] = Encoder(vocabulary(path), lexicon)
-    return _encoders[path, key]
+    """The driver reads each file once; a worker's stands in its encoder."""
+    return Vocabulary(path)

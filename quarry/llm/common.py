@@ -1,42 +1,22 @@
-"""Shared plumbing: written intermediate tables, text columns, connected components."""
+"""Shared plumbing: written intermediate tables, text columns, what workers hold, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A node with more edges than this may be a hub, and at least EDGES / HUB_SHARE of all edges makes it one.
-HUB_EDGES, HUB_SHARE = 10_000, 1_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; Spark removes it when the application ends."""
-    path = f"{shared_dir(spark)}/quarry/{label}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+from ..sources.store import new_path, written
 
+__all__ = ["connected_components", "dropped", "fresh", "held", "new_path", "rejoined", "slices", "small", "table", "texts", "trimming", "written"]
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there and a lost executor costs nothing that is done."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A node with more edges than this may be a hub, and at least EDGES / HUB_SHARE of all edges makes it one.
+HUB_EDGES, HUB_SHARE = 10_000, 1_000
 
 
 def dropped(spark: SparkSession, path: str) -> None:
@@ -54,20 +34,86 @@ def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+#: A class with at least so many rows, and more than a share of 1 / MOST_HEAVY of them all, is heavy.
+HEAVY_ROWS, MOST_HEAVY = 10_000, 100_000
+
+
+def rejoined(rows: DataFrame, classes: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows with the columns of classes, a written table that has one row for each value of on and, as copies, its number of rows.
+
+    Few classes are broadcast. Of many, the heavy ones are, of which there are fewer than MOST_HEAVY whatever the input, and
+    the others' join is a shuffle in which no key is heavy: a class with a third of all rows stays where its rows are.
+    on must not be null; how is inner or left.
+    """
+    count, total = classes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    if count <= MOST_BROADCAST:
+        return rows.join(F.broadcast(classes.drop("copies")), on, how)
+    cut = max(HEAVY_ROWS, total // MOST_HEAVY)
+    heavy = F.broadcast(classes.where(F.col("copies") > cut).drop("copies"))
+    light = rows.join(heavy.select(*on), on, "left_anti").join(classes.where(F.col("copies") <= cut).drop("copies"), on, how)
+    return rows.join(heavy, on).unionByName(light)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: Iterable[str], name: str) -> str:
+    """The name, with more underscores before it while a column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def texts(column: pa.Array) -> list[str]:
     """The column's strings; null is the empty text."""
     return [x or "" for x in column.to_pylist()]
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most so many rows, so that a task holds few texts at once."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most so many rows and bytes of text, one row at least, so that a task holds few texts at once."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+            stop = min(max(stop, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """What make() returned for the key, kept for a worker's next task. Only the latest is: a worker that goes on to another operator lets go of this one's model."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def trimming(f: Callable, keeps: str = "") -> Callable:
+    """f over batches, whose worker gives freed memory back to the system when a partition ends; workers live on between stages.
+
+    What is held for other operators than keeps, the first part of held's key, goes before the first batch.
+    """
+
+    def run(batches):
+        for key in [k for k in _held if k[0] != keeps]:
+            del _held[key]
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -49,14 +49,18 @@ def test_byte_bpe_is_the_library(spark, docs, none):
     assert bpe.encode(none, "text", path, bpe.lexicon(none, "text", path), bpe.round_trip, "n_tokens long, a string, b string").count() == 0
 
 
-def test_lexicon_numbers_words():
+def test_lexicon_numbers_words(tmp_path):
     words = {w.encode(): [i, i + 1] for i, w in enumerate(["a", "ab", "abc", "bc", "tap", "taps", "top", "tops", "é"])}
-    x = byte_bpe.Lexicon(byte_bpe.Lexicon.compiled(words))
+    def lexicon(words):
+        (tmp_path / "lexicon").write_bytes(byte_bpe.Lexicon.compiled(words))
+        return byte_bpe.Lexicon(str(tmp_path / "lexicon"))
+
+    x = lexicon(words)
     asked = [*words, b"", b"t", b"ta", b"zz", b"abcd"]
     got = x.ids_of(asked)
     assert [None if g is None else np.frombuffer(g, "<u4").tolist() for g in got] == [words.get(w) for w in asked]
     assert len(x.final) < sum(len(w) for w in words)  # suffixes are shared
-    assert byte_bpe.Lexicon(byte_bpe.Lexicon.compiled({})).ids_of([b"a"]) == [None]
+    assert lexicon({}).ids_of([b"a"]) == [None]
 
 
 def test_classes_of_characters_are_the_library_s():
@@ -89,7 +93,7 @@ def test_token_counts_add_up(spark, docs):
 def test_packing(spark, docs, none):
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    out = packing.pack(docs, "doc_id", "text", path, size=64, most=3, window=5, ids=True).collect()
+    out = packing.pack(docs, "doc_id", "text", path, size=64, most=3, ids=True).collect()
     bins, pieces = defaultdict(list), defaultdict(list)
     for r in out:
         bins[r.sequence_id].append((r.offset, r.length))
@@ -188,8 +192,8 @@ def test_near_text_finds_resembling_texts(spark, none):
     for i, t in rows:
         sets[i] = frozenset(near_text.shingle_hashes(t or "", 5).tolist())
     want = brute(sets, lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b))
-    for bucket in (2048, 3):
-        assert {r.doc_id: r.component_id for r in near_text.groups(d, "doc_id", "text", bucket=bucket).collect()} == want
+    for crowd in (64, 2):
+        assert {r.doc_id: r.component_id for r in near_text.groups(d, "doc_id", "text", crowd=crowd, bucket=3).collect()} == want
     kept = near_text.one_of_each(d.unionAll(d), "doc_id", "text")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
     assert near_text.one_of_each(none, "doc_id", "text").count() == 0
