@@ -1,4 +1,4 @@
-"""Best-fit packing of token pieces into sequences, with a fixed number of open bins."""
+"""Best-fit packing of token pieces into sequences as they come, with a fixed number of open bins."""
 
 from __future__ import annotations
 
@@ -16,10 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .byte_bpe import DOUBTFUL, characters_of_bytes, raw
-from .common import slices, table, texts
+from .byte_bpe import DOUBTFUL, bounded, characters_of_bytes, raw
+from .common import held, slices, table, texts, trimming
 
-SEQUENCE, OPEN_BINS, WINDOW, CACHED, END = 2048, 16_384, 16_384, 300_000, 0
+#: Tokens of a sequence, bins that stand open, and the id that ends a document.
+SEQUENCE, OPEN_BINS, END = 2048, 1024, 0
+#: Pieces whose ids a worker keeps, and most characters of one: some 50 MB.
+CACHED, LONGEST = 200_000, 64
 #: Tasks number their sequences apart by so many bits.
 TASK_BITS = 40
 #: Added tokens, and letters whose lower case depends on what stands around them.
@@ -95,9 +98,8 @@ class WordEncoder:
 
     def encode(self, found: list[str]) -> list[bytes]:
         split = [None if DOUBTFUL.search(x) or UNSURE.search(x) else x.split() for x in found]
-        if len(self.pieces) > CACHED:
-            self.pieces.clear()
-        fresh = list(set().union(*(x for x in split if x)).difference(self.pieces))
+        wanted = set().union(*(x for x in split if x))
+        fresh = list(wanted.difference(self.pieces))
         if fresh:
             joined = unicodedata.normalize("NFC", " ".join(fresh)).lower()
             data = bytes(self.core.encode_to_tiktoken_buffer(self.MARK.join([*self.SPLIT.findall(joined), ""]), set()))
@@ -106,54 +108,47 @@ class WordEncoder:
                 self.pieces[piece] = data[at:n]
                 at = n + 4
         get = self.pieces.__getitem__
-        return [raw(self.library.encode(x, add_special_tokens=False).ids) if s is None else b"".join(map(get, s)) for x, s in zip(found, split, strict=True)]
+        out = [raw(self.library.encode(x, add_special_tokens=False).ids) if s is None else b"".join(map(get, s)) for x, s in zip(found, split, strict=True)]
+        self.pieces = bounded(self.pieces, wanted, fresh, CACHED, LONGEST)
+        return out
 
 
-_encoders: dict[str, WordEncoder] = {}
-
 PLACED = "piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+_KINDS = (pa.int32(), *[pa.int64()] * 5, pa.binary())
 
 
-def pack(docs: DataFrame, doc_id: str, text: str, path: str, size: int = SEQUENCE, most: int = OPEN_BINS, window: int = WINDOW, ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, doc_id: str, text: str, path: str, size: int = SEQUENCE, most: int = OPEN_BINS, ids: bool = False) -> DataFrame:
     """A row for each piece of each document: where it stands in which sequence, and with ids its token ids.
 
     A document is its text's ids and END; only one longer than size is cut, at multiples of size. Each task packs what it
-    reads, window by window of so many pieces, the longest of a window first, and its open bins stay open from one window
-    to the next. It numbers its sequences apart from other tasks', so nothing is shuffled and a task that runs again gives
-    the same rows. Null text is empty: one piece of END alone. Repeated rows are packed each for itself; an empty table
-    gives no rows; only doc_id and text are read.
+    reads as it comes, with most bins open at any time, of which the fullest closes when another must open. It numbers its
+    sequences apart from other tasks', so nothing is shuffled and a task that runs again gives the same rows. Null text is
+    empty: one piece of END alone. Repeated rows are packed each for itself; an empty table gives no rows; only doc_id and
+    text are read.
     """
     wanted = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = f"doc_id {wanted.schema[0].dataType.simpleString()}, {PLACED}" + ", ids binary" * ids
-    end = raw([END])
+    names = [x.split()[0] for x in schema.split(", ")]
+    end, cut = raw([END]), 4 * size
 
     def packed(batches):
-        if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
-        engine, packer, base = _encoders[path], Packer(size, most), TaskContext.get().partitionId() << TASK_BITS
-        names = [x.split()[0] for x in schema.split(", ")]
-        kind, pieces = None, []
-
-        def placed():
-            pieces.sort(key=lambda x: -x[3])
-            rows = [(*x[:5], base + bin_, offset, x[5]) for x in pieces for bin_, offset in [packer.place(x[3])]]
-            kinds = [kind, pa.int32(), *[pa.int64()] * 5, pa.binary()][: len(names)]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
-
+        engine = held(("words", path), lambda: WordEncoder(path))
+        packer, base = Packer(size, most), TaskContext.get().partitionId() << TASK_BITS
         for batch in slices(batches):
-            kind = batch.schema[0].type
-            for key, found in zip(batch.column(0).to_pylist(), engine.encode(texts(batch.column(1))), strict=True):
+            owner: list[int] = []
+            columns: list[list] = [[] for _ in names[1:]]
+            for row, found in enumerate(engine.encode(texts(batch.column(1)))):
                 whole = found + end
-                for piece, at in enumerate(range(0, len(whole), 4 * size)):
-                    cut = whole[at : at + 4 * size]
-                    pieces.append((key, piece, at // 4, len(cut) // 4, zlib.crc32(cut), cut if ids else None))
-            if len(pieces) >= window:
-                yield placed()
-                pieces = []
-        if pieces:
-            yield placed()
-
-    return wanted.mapInArrow(packed, schema)
+                for piece, at in enumerate(range(0, len(whole), cut)):
+                    part = whole if len(whole) <= cut else whole[at : at + cut]
+                    bin_, offset = packer.place(len(part) // 4)
+                    owner.append(row)
+                    for column, value in zip(columns, (piece, at // 4, len(part) // 4, zlib.crc32(part), base + bin_, offset, part), strict=False):
+                        column.append(value)
+            keys = batch.column(0).take(pa.array(owner, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, *map(pa.array, columns, _KINDS)], names=names)
+
+    return wanted.mapInArrow(trimming(packed, "words"), schema)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
