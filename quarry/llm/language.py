@@ -8,12 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import slices, table, texts
+from .common import fresh, held, slices, table, texts, trimming
 
 #: The bound of the fit: documents of each language, characters of each of these, of a language, and in all; where languages
 #: are so many that they have to share the latter, fewest documents of each.
 SAMPLE_DOCS, DOC_CHARS, SAMPLE_CHARS, ALL_CHARS, FEWEST_DOCS = 400, 160, 50_000, 1_000_000, 16
+#: Most entries of all automata's tables together (64 MB); where those of a language would take more than its share, its arcs are searched.
+ALL_CELLS = 1 << 24
 #: Texts are parsed in blocks of so many characters; a phrase ends with its block.
 BLOCK = 256
 FOLDS, HELD_OUT, UNDETERMINED = 4, 2, "und"
@@ -23,7 +26,8 @@ BOUND_DOCS, QUANTILE, WIDE, SHORT, LEAST_DOCS, STRANGE = 2000, 0.99, 1.75, 6.0,
 
 
 def held_out(doc_id: str) -> Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == HELD_OUT
+    """Whether the id's fold is held out; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
 def labelled(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
@@ -34,16 +38,16 @@ def labelled(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
 
 
 def place(seed: int) -> Column:
-    """A number from 0 to 1 by the id's hash."""
-    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    """A number from 0 to 1 by a hash of id and text."""
+    return F.pmod(F.xxhash64("id", "text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
 
 def sample(docs: DataFrame, doc_id: str, text: str, lang: str) -> dict[str, str]:
-    """Text of each language from labelled documents with a letter, about SAMPLE_DOCS of them chosen by their id's hash.
+    """Text of each language from labelled documents with a letter, about SAMPLE_DOCS of them chosen by a hash of id and text.
 
-    The hash's threshold follows from the language's count over all documents, so what reaches the driver is bounded. Of
-    each document an excerpt is taken, at a place that its id's hash chooses. All languages are learned, from the less the
-    more there are.
+    The hash's threshold follows from the language's count over all documents. Of each document an excerpt is taken, at a
+    place that the hash chooses; equal excerpts of a language count once, and a bound holds for each language by itself, so no
+    repeated row crowds out others. All languages are learned, from the less the more there are.
     """
     known = labelled(docs, doc_id, text, lang)
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
@@ -53,11 +57,13 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str) -> dict[str, str]
     each = min(SAMPLE_DOCS, max(2 * most // DOC_CHARS, FEWEST_DOCS))
     share = F.map_from_entries(F.array(*(F.struct(F.lit(r["lang"]), F.lit(min(1.0, each / r["n"]))) for r in counts)))
     taken = known.where(place(7) < F.coalesce(share[F.col("lang")], F.lit(0.0)))
-    start = F.pmod(F.xxhash64("id", F.lit(11)), F.greatest(F.length("text") - DOC_CHARS + 1, F.lit(1))).cast("int") + 1
+    start = F.pmod(F.xxhash64("id", "text", F.lit(11)), F.greatest(F.length("text") - DOC_CHARS + 1, F.lit(1))).cast("int") + 1
     excerpt = F.substring("text", start, F.lit(DOC_CHARS))
-    rows = taken.select("lang", excerpt.alias("text"), F.xxhash64("id").alias("at")).orderBy("lang", "at", "text").limit(4 * each * len(counts)).collect()
+    some = taken.groupBy("lang", excerpt.alias("text")).agg(F.min(F.xxhash64("id")).alias("at"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
+    rows = some.withColumn("n", first).where(F.col("n") <= 4 * each).collect()
     out: dict[str, str] = {}
-    for r in rows:
+    for r in sorted(rows, key=lambda r: (r["lang"], r["n"])):
         out[r["lang"]] = (out.get(r["lang"], "") + " " + r["text"])[:most]
     return out
 
@@ -85,12 +91,9 @@ class Classes:
 
 
 class SuffixAutomaton:
-    """All substrings of a sequence of numbers, as one table: row of a state, column of a number.
+    """All substrings of a sequence of numbers, as a table with a row for each state, or as sorted arcs where that is too large."""
 
-    An entry is the row's start of the next state; where the phrase can't go on, minus that of the phrase which begins anew.
-    """
-
-    def __init__(self, sequence: list[int], width: int):
+    def __init__(self, sequence: list[int], width: int, most: int = ALL_CELLS):
         # Online construction: state 0 is the empty phrase, link the longest proper suffix of another class.
         steps: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
@@ -117,19 +120,36 @@ class SuffixAutomaton:
                     q = copy
                 link[new] = q
             last = new
-        # Row 0 stays unused, so that no row's start is its own negative; at the last row no phrase is open.
+        self.width, self.table = width, None
+        if (len(steps) + 2) * width > most:
+            arcs = sorted((state * width + c, t) for state, x in enumerate(steps) for c, t in x.items())
+            self.keys, self.targets = np.array([k for k, _ in arcs], np.int64), np.array([t for _, t in arcs], np.int32)
+            self.root = np.full(width, -1, np.int32)  # a letter that the sample lacks is a phrase by itself
+            self.root[list(steps[0])] = list(steps[0].values())
+            return
+        # An entry is the row's start of the next state; where the phrase can't go on, minus that of the phrase which begins
+        # anew. Row 0 stays unused, so that no row's start is its own negative; at the last row no phrase is open.
         table = np.zeros((len(steps) + 2, width), np.int32)
         for state, x in enumerate(steps):
             if x:
                 table[state + 1, list(x)] = [(t + 1) * width for t in x.values()]
         self.none_open = (len(steps) + 1) * width
-        root = np.where(table[1] > 0, table[1], self.none_open)  # a letter that the sample lacks is a phrase by itself
+        root = np.where(table[1] > 0, table[1], self.none_open)
         self.table = np.where(table > 0, table, -root).ravel()
 
     def phrases(self, blocks: np.ndarray, on: np.ndarray) -> np.ndarray:
         """Phrases of each block. blocks: a row for each place, a column for each block, the longest first; on: blocks with that place."""
-        state = np.full(blocks.shape[1], self.none_open, np.int32)
         found = np.zeros(blocks.shape[1], np.int32)
+        if self.table is None:
+            state = np.full(blocks.shape[1], -1, np.int64)
+            for row, n in zip(blocks, on.tolist(), strict=True):
+                key = state[:n] * self.width + row[:n]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                goes = self.keys[at] == key
+                found[:n] += ~goes
+                state[:n] = np.where(goes, self.targets[at], self.root[row[:n]])
+            return found
+        state = np.full(blocks.shape[1], self.none_open, np.int32)
         for row, n in zip(blocks, on.tolist(), strict=True):
             next_ = self.table[state[:n] + row[:n]]
             found[:n] -= next_ >> 31
@@ -138,10 +158,10 @@ class SuffixAutomaton:
 
 
 class Model:
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, str], cells: int = ALL_CELLS):
         self.names = sorted(samples)
         self.classes = Classes(list(samples.values()))
-        self.automata = [SuffixAutomaton(self.classes.read([samples[x]])[0].tolist(), self.classes.width) for x in self.names]
+        self.automata = [SuffixAutomaton(self.classes.read([samples[x]])[0].tolist(), self.classes.width, cells // len(self.names)) for x in self.names]
 
     def phrase_rates(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases a character for each text and language, whether each text has a letter)."""
@@ -170,31 +190,28 @@ class Model:
         return names, np.where(lettered, score, 0.0).tolist(), np.where(lettered, ranked[:, 0], 1.0).tolist()
 
 
-_models: dict[str, Model] = {}
-
-
 def identify(docs: DataFrame, text: str, samples: dict[str, str], keep: tuple[str, ...], names: tuple[str, str, str] = ("lang_pred", "score", "phrase_rate")) -> DataFrame:
     """keep's columns, then by these names the language, its score and its phrases a character, of each document.
 
     A text that is null or has no letter is UNDETERMINED with score 0 and rate 1, and so are all where nothing was learned.
-    Ties go to the first language by name; repeated rows are judged each for itself; an empty table gives no rows.
+    Ties go to the first language by name; repeated rows are judged each for itself; an empty table gives no rows. keep must
+    not hold the names.
     """
     shared, key = docs.sparkSession.sparkContext.broadcast(samples), uuid.uuid4().hex
-    wanted = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    own = fresh(keep, "__text")
+    wanted = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).cast("string").alias(own))
     out = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double").add(names[2], "double")
-    at = wanted.columns.index(text if text in keep else "__text")
+    at = wanted.columns.index(text if text in keep else own)
 
     def judged(batches):
-        if shared.value and key not in _models:
-            _models.clear()
-            _models[key] = Model(shared.value)
+        model = held(("language", key), lambda: Model(shared.value)) if shared.value else None
         for batch in slices(batches):
             found = texts(batch.column(at))
-            answers = _models[key].predict(found) if shared.value else ([UNDETERMINED] * len(found), [0.0] * len(found), [1.0] * len(found))
+            answers = model.predict(found) if model else ([UNDETERMINED] * len(found), [0.0] * len(found), [1.0] * len(found))
             columns = [pa.array(a, k) for a, k in zip(answers, (pa.string(), pa.float64(), pa.float64()), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=out.fieldNames())
 
-    return wanted.mapInArrow(judged, out)
+    return wanted.mapInArrow(trimming(judged, "language"), out)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,10 +248,11 @@ def recognised(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
     if not samples:
         return docs.where(F.col(text).rlike(r"\p{L}"))
     usual = bounds(docs, doc_id, text, lang, samples)
-    found = identify(docs, text, samples, tuple(docs.columns), ("__lang", "__score", "__rate"))
+    names = tuple(fresh(docs.columns, x) for x in ("__lang", "__score", "__rate"))
+    found = identify(docs, text, samples, tuple(docs.columns), names)
     most = F.lit(STRANGE)
     if usual:
-        of = F.create_map(*(F.lit(x) for kv in usual.items() for x in kv))[F.col("__lang")]
+        of = F.create_map(*(F.lit(x) for kv in usual.items() for x in kv))[F.col(names[0])]
         most = F.coalesce(F.least(most, of * (WIDE + SHORT / F.sqrt(F.length(F.col(text).cast("string"))))), most)
-    good = found.where((F.col("__lang") != UNDETERMINED) & (F.col("__rate") <= most))
-    return good.withColumn(lang, F.coalesce(lang, "__lang")).select(*docs.columns)
+    good = found.where((F.col(names[0]) != UNDETERMINED) & (F.col(names[2]) <= most))
+    return good.withColumn(lang, F.coalesce(F.col(lang).cast("string"), names[0])).select(*docs.columns)
