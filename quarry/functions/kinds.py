@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalar import _c
+from .scalar import _c, let
 
 # Ranges: struct(lo, hi, lo_inc, hi_inc); a null bound is infinite. Discrete ones stand as [lo, hi).
 
@@ -272,7 +272,7 @@ def chebyshev(a, b) -> Column:
 
 def cube_union(a, b) -> Column:
     """(lower, upper) corners of the smallest cube with both points."""
-    return F.struct(F.zip_with(_c(a), _c(b), F.least).alias("ll"), F.zip_with(_c(a), _c(b), F.greatest).alias("ur"))
+    return F.struct(F.zip_with(_c(a), _c(b), lambda x, y: F.least(x, y)).alias("ll"), F.zip_with(_c(a), _c(b), lambda x, y: F.greatest(x, y)).alias("ur"))
 
 
 # Key-value maps from text 'k=>v, ...'.
@@ -432,14 +432,13 @@ def lexemes(placed, stop: tuple[str, ...] = ()) -> Column:
     """A tsvector of an array of (w, p)."""
     if stop:
         placed = F.filter(placed, lambda x: ~x.w.isin(*stop))
-    # The sort is made once: what stands below refers to the lambda's variable.
-    return F.get(F.transform(F.array(F.sort_array(placed)), _runs), F.lit(0))
+    return let(F.sort_array(placed), _runs)
 
 
 def _runs(a: Column) -> Column:
     starts = F.filter(F.transform(a, lambda x, i: F.when((i == 0) | (F.get(a, i - 1).w != x.w), i)), lambda i: i.isNotNull())
-    with_end = F.transform(F.array(starts), lambda st: F.transform(st, lambda i, k: F.struct(i.alias("i"), F.coalesce(F.get(st, k + 1), F.size(a)).alias("e"))))
-    return F.transform(F.get(with_end, F.lit(0)), lambda x: F.struct(F.get(a, x.i).w.alias("lexeme"), F.transform(F.slice(a, x.i + 1, x.e - x.i), lambda y: y.p).alias("positions")))
+    with_end = let(starts, lambda st: F.transform(st, lambda i, k: F.struct(i.alias("i"), F.coalesce(F.get(st, k + 1), F.size(a)).alias("e"))))
+    return F.transform(with_end, lambda x: F.struct(F.get(a, x.i).w.alias("lexeme"), F.transform(F.slice(a, x.i + 1, x.e - x.i), lambda y: y.p).alias("positions")))
 
 
 def _tokens(q: str) -> list[str]:
@@ -482,8 +481,7 @@ def ts_match(vector, query) -> Column:
         if node[0] == "w":
             return F.flatten(F.transform(F.filter(v, lambda x: x.lexeme == node[1]), lambda x: x.positions))
         gap = 1 if node[0] == "<->" else int(node[0][1:-1])
-        one, two = places(node[1]), places(node[2])
-        return F.filter(two, lambda p: F.array_contains(one, p - gap))
+        return F.array_intersect(F.transform(places(node[1]), lambda p: p + gap), places(node[2]))
 
     def test(node) -> Column:
         if node[0] == "!":

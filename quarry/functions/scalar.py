@@ -11,6 +11,11 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x computed once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 # Strings
 
 

@@ -59,4 +59,4 @@ def money(c: str):
     return F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
 
 
-from . import engine_queries, json_queries, relational, scalar, semantics, time_queries, value_queries  # noqa: E402, F401
+from . import engine_queries, json_queries, kind_queries, relational, scalar, semantics, time_queries, value_queries  # noqa: E402, F401
