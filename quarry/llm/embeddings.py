@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, slices, table, written
+from .common import connected_components, rejoined, slices, table, trimming, written
 
-COSINE, PLANES, TABLES, SEED = 0.98, 14, 20, 20260
+#: PLANES is the least number of planes of a table; RECALL the chance that a pair at the bound meets in one table or more.
+COSINE, PLANES, RECALL, SEED = 0.98, 14, 0.9999, 20260
 #: Vectors of a bucket that are compared at once, beyond which it is compared block by block; rows that Python gets at once.
 BLOCK, CELL = 1024, 4096
 EDGES = "kind int, a long, b long, n long"
 
 
+def shape(n: int, cosine: float, recall: float = RECALL) -> tuple[int, int]:
+    """(planes, tables) for n vectors of a label: planes such that an even bucket has at most a few, and the tables that the recall needs.
+
+    A plane parts two vectors with the chance of their angle over pi, so a table of k planes joins a pair at the bound with
+    (1 - angle / pi) ** k, and the number of tables grows only with a small power of n.
+    """
+    planes = min(max(PLANES, math.ceil(math.log2(max(n, 1) / 4))), 30)
+    meet = (1 - math.acos(cosine) / math.pi) ** planes
+    return planes, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
+
+
 def signatures(vectors: np.ndarray, planes: int, tables: int, seed: int) -> np.ndarray:
     """A row of tables numbers for each unit vector: the signs of its products with planes random normals each."""
     normals = np.random.default_rng([seed, vectors.shape[1]]).standard_normal((vectors.shape[1], planes * tables))
@@ -38,24 +52,30 @@ def unit(values: list) -> np.ndarray | None:
 
 
 def hashed(vectors: DataFrame, planes: int, tables: int, seed: int) -> DataFrame:
-    """(id, label, vec, sig) of the vectors that can be linked, from (id, label, vec)."""
-    double = vectors.where("label IS NOT NULL").select("id", "label", F.col("vec").cast("array<double>").alias("vec"))
-    out = T.StructType([*double.schema, T.StructField("sig", T.ArrayType(T.LongType()))])
+    """(id, copies, label, vec, sig) of the vectors that can be linked, from (id, copies, label, vec). Floats stay floats, all else is double."""
+    single = isinstance(vectors.schema["vec"].dataType.elementType, T.FloatType)
+    own = vectors.where("label IS NOT NULL").select("id", "copies", "label", F.col("vec").cast("array<float>" if single else "array<double>").alias("vec"))
+    out = T.StructType([*own.schema, T.StructField("sig", T.ArrayType(T.IntegerType()))])
 
     def mapped(batches):
         for batch in slices(batches, 4096):
-            units = [unit(x) for x in batch.column(2).to_pylist()]
+            units = [unit(x) for x in batch.column(3).to_pylist()]
             found: list = [None] * len(units)
             for size in {len(u) for u in units if u is not None}:
                 at = [i for i, u in enumerate(units) if u is not None and len(u) == size]
                 for i, s in zip(at, signatures(np.stack([units[i] for i in at]), planes, tables, seed).tolist(), strict=True):
                     found[i] = s
-            keep = [i for i, u in enumerate(units) if u is not None]
-            kept = batch.take(pa.array(keep, pa.int64()))
-            vecs = pa.array([units[i].tolist() for i in keep], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), vecs, pa.array([found[i] for i in keep], pa.list_(pa.int64()))], names=out.fieldNames())
+            kept = batch.take(pa.array([i for i, u in enumerate(units) if u is not None], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([x for x in found if x is not None], pa.list_(pa.int32()))], names=out.fieldNames())
+
+    return own.mapInArrow(trimming(mapped), out)
+
 
-    return double.mapInArrow(mapped, out)
+def units_of(body: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors in double precision; the same numbers whatever rows stand beside."""
+    body = body.astype(np.float64)
+    body /= np.abs(body).max(1, keepdims=True)
+    return body / np.sqrt(np.einsum("ij,ij->i", body, body))[:, None]
 
 
 def compared(left: tuple, right: tuple, same: bool, here: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -73,15 +93,17 @@ def compared(left: tuple, right: tuple, same: bool, here: int, cosine: float) ->
     return i, j
 
 
-def linked(vectors: DataFrame, cosine: float = COSINE, planes: int = PLANES, tables: int = TABLES, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def linked(vectors: DataFrame, cosine: float = COSINE, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """((u, v) that connect all linked classes, (id, n_links) of each linked class's representative) from (id, label, vec, copies).
 
     Vectors of a label that share a table's hash are a bucket. Its members are dealt to blocks of about BLOCK; each pair of
     blocks stands in one cell, so a bucket of any size is compared whole in bounded tasks and no pair leaves its cell: what leaves
     are sums of links and, for each vector, one link to the smallest id that it meets there. A pair counts in the first
-    table where it meets. n_links counts the copies of linked classes.
+    table where it meets. n_links counts the copies of linked classes. Planes and tables follow from the largest label.
     """
-    rows = written(hashed(vectors, planes, tables, seed).join(vectors.select("id", "copies"), "id"), "signatures")
+    most = vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    planes, tables = shape(most, cosine)
+    rows = written(hashed(vectors, planes, tables, seed), "signatures")
     placed = rows.select("id", "label", F.posexplode("sig").alias("here", "hash"))
     sizes = placed.groupBy("label", "here", "hash").agg(F.count("*").alias("n")).where("n > 1")
     sizes = sizes.select("label", "here", "hash", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -109,7 +131,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE, planes: int = PLANES, tab
             lengths = np.diff(starts[first : stop + 1])
             for size in np.unique(lengths).tolist():
                 at = first + np.flatnonzero(lengths == size)
-                body = vec[starts[at][:, None] + np.arange(size)]
+                body = units_of(vec[starts[at][:, None] + np.arange(size)])
                 one, two = np.flatnonzero(block[at] == lo[first]), np.flatnonzero(block[at] == hi[first])
                 i, j = compared((body[one], sig[at[one]]), (body[two], sig[at[two]]), lo[first] == hi[first], int(here[first]), cosine)
                 if not len(i):
@@ -156,24 +178,28 @@ def grouped(vectors: DataFrame, vec_id: str, embedding: str, label: str, cosine:
 
     A vector that is null, empty, zero or holds null, NaN or infinity, or whose label is null, links with nothing. Vectors
     of different lengths never link. Equal vectors of a label are linked with each other and stand as one class until the
-    end. vec_id must be unique; an empty table gives no rows; other columns aren't read.
+    end. Each row is a vector of its own, whatever its vec_id: repeated rows link with each other, and rows that share a
+    vec_id and differ are judged apart. A null vec_id takes part, but is no component's id; a component without any other
+    has null. An empty table gives no rows; other columns aren't read.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(embedding).alias("vec"))
-    # Equal vectors are found by a 128-bit hash of their components; a null label or vector is a class of its own row.
+    # Equal vectors are found by a 128-bit hash of their components; what can't link has no class.
+    finite = F.expr("size(vec) > 0 AND forall(vec, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(vec, x -> x <> 0)")
     digest = F.concat(F.xxhash64("vec").cast("string"), F.lit(":"), F.md5(F.to_json(F.struct("vec"))))
-    rows = written(rows.withColumn("class", F.when(F.col("label").isNotNull() & F.col("vec").isNotNull(), digest)), "vectors")
-    classes = rows.where("class IS NOT NULL").groupBy("label", "class").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
+    rows = rows.withColumn("class", F.when(F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)), digest))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    classes = rows.where("class IS NOT NULL").groupBy("label", "class").agg(F.min("row").alias("id"), F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     classes = written(classes, "classes")
-    reps = rows.join(classes.select(F.col("id").alias("vec_id"), "id", "copies"), "vec_id").select("id", "label", "vec", "copies")
-    linkable = reps.where(F.expr("size(vec) > 0 AND forall(vec, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(vec, x -> x <> 0)"))
-    linkable = written(linkable, "linkable")
+    # One row of each class, by the row's number.
+    linkable = written(rows.join(classes.select(F.col("id").alias("row"), "id", "copies"), "row").select("id", "label", "vec", "copies"), "linkable")
     edges, n_links = linked(linkable, cosine)
     parts = connected_components(edges).withColumnRenamed("node", "id")
-    of = linkable.select("id", "copies").join(n_links, "id", "left").join(parts, "id", "left")
-    of = of.select("id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    of = written(classes.join(of, "id").select("label", "class", "n_links", "component_id"), "groups")
-    out = rows.join(of, ["label", "class"], "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    of = classes.join(n_links, "id", "left").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    roots = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = of.join(roots, "component").select("label", "class", "copies", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    found = rejoined(rows.where("class IS NOT NULL").drop("vec", "row"), written(of, "groups"), ["label", "class"]).select("vec_id", F.col("n_links").cast("long"), "component_id")
+    alone = rows.where("class IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return found.unionByName(alone)
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
