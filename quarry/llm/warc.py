@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, new_path, slices, table, written
+from .common import dropped, new_path, slices, table, trimming, written
 
 VERSION, CHUNK, LEVEL = b"WARC/1.0", 1 << 20, 1
 #: What a revisit of an identical payload names as its profile, and a date for pages that carry none.
@@ -25,12 +25,12 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One record. The payload of a revisit isn't stored; its digest and size are those of the full payload."""
     head = [
         VERSION.decode(),
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Date: {UNDATED}",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
         f"X-Payload-Length: {len(payload)}",
@@ -130,17 +130,19 @@ class Whole:
 
 
 def deduplicated(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) with refers_to: of equal payloads the largest page_id, for all pages but that one.
+    """pages (page_id, url, html) with refers_to: of equal payloads the largest page_id, for all rows but those of that page.
 
-    Only digests are grouped. What refers to a page is a table of its own, and html isn't shuffled while that is small
-    enough for Spark to broadcast by its files' size.
+    Only digests are grouped. What refers to a page is a table of its own, by page and digest, and html isn't shuffled while
+    that is small enough for Spark to broadcast by its files' size.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     own = pages.select("page_id", F.sha2(payload, 256).alias("digest"))
-    largest = own.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    largest = own.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL")
     largest = written(largest.select("digest", "refers_to"), "payloads")
-    revisits = written(own.join(largest, "digest").where("page_id <> refers_to").select("page_id", "refers_to"), "revisits")
-    return pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("html")).join(revisits, "page_id", "left")
+    revisits = own.join(largest, "digest").where("NOT page_id <=> refers_to").select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "refers_to")
+    revisits = written(revisits.distinct(), "revisits")
+    same = F.col("page_id").eqNullSafe(F.col("__page")) & (F.sha2("html", 256) == F.col("__digest"))
+    return pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("html")).join(revisits, same, "left").drop("__page", "__digest")
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -158,7 +160,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         if any_:
             yield pa.record_batch({"archive": pa.array([path])})
 
-    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(write, "archive string")
+    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(trimming(write), "archive string")
 
 
 INDEX = "archive string, record_id string, type string, offset long, length long"
@@ -190,7 +192,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in INDEX.split(", ")])
 
-    return archives.mapInArrow(rewrite, INDEX)
+    return archives.mapInArrow(trimming(rewrite), INDEX)
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
@@ -215,7 +217,7 @@ def read(index: DataFrame, content: bool = True) -> DataFrame:
                     opened = (x["archive"], fs.open_input_file(plain))
                 opened[1].seek(x["offset"])
                 fields, payload = parsed(zlib.decompress(opened[1].read(x["length"]), 31))
-                number = lambda name: int(fields[name].strip("<>").rpartition(":")[2]) if name in fields else None  # noqa: E731, B023
+                number = lambda name: int(x) if (x := fields.get(name, "").strip("<>").rpartition(":")[2]) else None  # noqa: E731, B023
                 size, said = int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha1:")
                 if fields["warc-type"] == "response" and (size, said) != (len(payload), digest(payload)):
                     raise ValueError(f"{fields['warc-record-id']}: the payload isn't what its header names")
@@ -226,14 +228,16 @@ def read(index: DataFrame, content: bool = True) -> DataFrame:
         if opened[1]:
             opened[1].close()
 
-    return index.mapInArrow(get, schema)
+    return index.mapInArrow(trimming(get), schema)
 
 
 def archived(pages: DataFrame, folder: str) -> DataFrame:
     """Write pages (page_id, url, html) as normalised archives in folder, and return their index.
 
-    A null html is an empty payload; empty payloads revisit each other like others; a null url is left out. page_id must
-    be unique and not null. An empty table gives an empty index. The whole-file streams are removed at the end.
+    A null html is an empty payload; empty payloads revisit each other like others; a null url is left out. Each row is a
+    record of its own: repeated rows of a page that others revisit are all responses, other repeated rows all revisits. A null
+    page_id makes a record without a number that none refers to; where all pages of a payload are such, all are responses.
+    An empty table gives an empty index; other columns aren't read. The whole-file streams are removed at the end.
     """
     spark = pages.sparkSession
     whole = new_path(spark, "warc-whole")
