@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, table, written
+from .common import fresh, rejoined, small, table, written
 
 #: White space between words, as characters and as a regular expression's class.
 SPACE, SPACE_CLASS = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]"
@@ -14,7 +14,7 @@ LEAST_WORDS, MOST_REPEATED = 10, 20
 #: Soft rules: mean code points a word, symbols in a hundred word characters, repeated lines in a hundred lines.
 SHORTEST_MEAN, LONGEST_MEAN, MOST_SYMBOLS, MOST_DUP_LINES = 2, 15, 10, 30
 #: A host whose shrunk failure rate is above this is bad. PRIOR is the prior's weight where hosts' rates don't vary.
-BAD_HOST, PRIOR, SALTS = 0.5, 10.0, 64
+BAD_HOST, PRIOR = 0.5, 10.0
 
 
 def measured(docs: DataFrame, text: str, keep: dict[str, str]) -> DataFrame:
@@ -82,25 +82,25 @@ def judge(docs: DataFrame, text: str, host: str, keep: dict[str, str]) -> DataFr
     A document that fails the base rules goes. One that fails only soft rules goes if its host is bad, where hosts are
     judged by the share of documents that fail any rule, shrunk to the corpus's. The null host is a host of its own.
     Repeated rows count each for itself; an empty table gives no rows; extra columns aren't read. The measures are
-    written once; the join back deals each host's rows over SALTS keys, so a host with a third of them is spread out.
+    written once; the join back leaves the rows of few or heavy hosts where they are.
     """
     m = written(measured(docs, text, keep | {"__host": host}), "quality")
     m = m.withColumn("base_failed", base_failed()).withColumn("__soft", soft_failed())
     m = m.withColumn("__host", F.struct(F.col("__host").cast("string")))
     rates = host_rates(m.select("__host", (F.col("base_failed") | F.col("__soft")).alias("fails")))
-    rates = rates.select("__host", F.col("rate").alias("host_rate"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    m = m.withColumn("__salt", F.pmod(F.xxhash64(*keep, "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
-    joined = m.join(rates, ["__host", "__salt"], "left").drop("__salt", "__host")
+    rates = written(rates.select("__host", F.col("rate").alias("host_rate"), F.col("n").alias("copies")), "hosts")
+    joined = rejoined(m, rates, ["__host"]).drop("__host")
     return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("__soft") & (F.col("host_rate") > BAD_HOST)))
 
 
 def passed(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     """docs that judge() keeps. What it rejects is found again by doc_id and a hash of the text; rows equal in both are judged alike."""
-    key = {"__a": F.col(doc_id), "__b": F.xxhash64(F.col(text).cast("string"))}
-    marked = docs.withColumns(key)
-    verdicts = judge(marked, text, host, {"__ka": "__a", "__kb": "__b"})
-    gone = small(written(verdicts.where(~F.col("kept")).select("__ka", "__kb").distinct(), "rejected"))
-    return marked.join(gone, F.col("__a").eqNullSafe(F.col("__ka")) & F.col("__b").eqNullSafe(F.col("__kb")), "left_anti").select(*docs.columns)
+    a, b = (fresh(docs.columns, x) for x in ("__a", "__b"))
+    marked = docs.withColumns({a: F.col(doc_id), b: F.xxhash64(F.col(text).cast("string"))})
+    ka, kb = (fresh(marked.columns, x) for x in ("__ka", "__kb"))
+    verdicts = judge(marked, text, host, {ka: a, kb: b})
+    gone = small(written(verdicts.where(~F.col("kept")).select(ka, kb).distinct(), "rejected"))
+    return marked.join(gone, F.col(a).eqNullSafe(F.col(ka)) & F.col(b).eqNullSafe(F.col(kb)), "left_anti").select(*docs.columns)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, small, table, texts, written
+from .common import fresh, rejoined, slices, small, table, texts, trimming, written
 
 #: The base kinds in their order, each with its pattern, the group that is the secret, and its least length.
 KINDS = (
@@ -52,10 +52,14 @@ def base_spans(text: str) -> list[tuple[int, str, int, str]]:
 
 
 def own_spans(text: str, base: list) -> list[tuple[int, str, int, str]]:
-    """Long tokens that look random and overlap no base finding."""
-    out, taken = [], [(s, e) for s, _, e, _ in base]
+    """Long tokens that look random and overlap no base finding; one merge of two ascending lists."""
+    out, at, reach = [], 0, 0
     for m in LONG_TOKEN.finditer(text):
-        if looks_random(m[0]) and not any(s < m.end() and m.start() < e for s, e in taken):
+        # reach: how far the base findings that start before the token's end go.
+        while at < len(base) and base[at][0] < m.end():
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= m.start() and looks_random(m[0]):
             out.append((m.start(), OWN, m.end(), m[0]))
     return out
 
@@ -82,19 +86,19 @@ def scanned(docs: DataFrame, text: str, keep: dict[str, str]) -> DataFrame:
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_KINDS)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=out.fieldNames())
 
-    return wanted.mapInArrow(found, out)
+    return wanted.mapInArrow(trimming(found), out)
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """(value, n_owners, n_repos, verdict) from (value, owner, repo), counted over the whole corpus.
+    """(value, n_owners, n_repos, copies, verdict) from (value, owner, repo), counted over the whole corpus; copies are its rows.
 
     Each repository, then each owner, is counted once by aggregates with partial sums, so a value that a third of all rows
     hold is added up in parts. verdict: example where EXAMPLE_OWNERS or more have it, live where at most LIVE_OWNERS do,
     else shared. A null owner or repository counts as one of its own.
     """
-    repos = candidates.select("value", F.struct("owner").alias("o"), F.struct("repo").alias("r")).groupBy("value", "o", "r").agg(F.lit(1).alias("one"))
-    owners = repos.groupBy("value", "o").agg(F.count("*").alias("n"))
-    out = owners.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"))
+    repos = candidates.select("value", F.struct("owner").alias("o"), F.struct("repo").alias("r")).groupBy("value", "o", "r").agg(F.count("*").alias("rows"))
+    owners = repos.groupBy("value", "o").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    out = owners.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"), F.sum("rows").alias("copies"))
     live = F.col("n_owners") <= LIVE_OWNERS
     return out.withColumn("verdict", F.when(F.col("n_owners") >= EXAMPLE_OWNERS, "example").when(live, "live").otherwise("shared"))
 
@@ -113,8 +117,8 @@ def judged(docs: DataFrame, text: str, owner: str, repo: str, keep: dict[str, st
         "__row", F.col("__owner").alias("owner"), F.col("__repo").alias("repo"), F.explode(F.arrays_zip("kinds", "starts", "ends", "values", "random")).alias("x")
     )
     each = each.select("__row", "owner", "repo", F.col("x.values").alias("value"), "x.kinds", "x.starts", "x.ends", "x.random")
-    verdicts = written(ownership(each).select("value", "verdict"), "owners")
-    with_verdict = each.drop("owner", "repo").join(verdicts, "value")
+    verdicts = written(ownership(each).select("value", "copies", "verdict"), "owners")
+    with_verdict = rejoined(each.drop("owner", "repo"), verdicts, ["value"])
     with_verdict = with_verdict.where((F.col("kinds") != OWN) | (F.col("verdict") != "example"))
     rank = F.create_map(*(F.lit(x) for kv in ORDER.items() for x in kv))[F.col("kinds")]
     span = F.struct(F.col("starts").alias("start"), rank.alias("rank"), F.col("kinds").alias("kind"), F.col("ends").alias("end"), "random", "verdict")
@@ -143,6 +147,10 @@ def redacted(docs: DataFrame, text: str, owner: str, repo: str) -> DataFrame:
     Overlapping spans go together. Texts are found again by repo and a hash of the text; rows that agree in both have
     the same findings. Null texts stay null.
     """
+    if clash := [c for c in docs.columns if c.lower() in ("__a", "__b", "__ka", "__kb", "__t", "__cuts")]:  # set aside meanwhile
+        names = {c: fresh(docs.columns, f"__kept_{i}") for i, c in enumerate(clash)}
+        back = {v: k for k, v in names.items()}
+        return redacted(docs.withColumnsRenamed(names), *(names.get(c, c) for c in (text, owner, repo))).withColumnsRenamed(back)
     marked = docs.withColumns({"__a": F.col(repo).cast("string"), "__b": F.xxhash64(F.col(text).cast("string"))})
     spans = judged(marked, text, owner, repo, {"__ka": "__a", "__kb": "__b"})
     cuts = F.filter("spans", lambda s: s.verdict != "example")

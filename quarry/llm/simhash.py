@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, slices, table, texts, written
+from .common import connected_components, rejoined, slices, table, texts, trimming, written
 
 BITS, SEED = 64, 42
 #: Most differing bits of a link; words of a shingle.
@@ -34,10 +34,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     stops = ends[min(shingle, len(found)) - 1 :].tolist()
     digest = xxhash.xxh64_digest
     hashes = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)]), np.uint8)
+    return majority(hashes.reshape(-1, 8))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, rows of eight bytes, the highest first."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):  # a bounded number of shingles is spread into bits at once
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    for at in range(0, len(hashes), 1 << 16):  # a bounded number of hashes is spread into bits at once
+        ones += np.unpackbits(hashes[at : at + (1 << 16)], axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def signed(x: int) -> int:
@@ -53,7 +58,7 @@ def fingerprints(docs: DataFrame, text: str, keep: tuple[str, ...], shingle: int
             column = pa.array([signed(fingerprint(x, shingle)) for x in texts(batch.column(len(keep)))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], column], names=[*keep, "fp"])
 
-    return wanted.mapInArrow(mapped, wanted.drop("__text").schema.add("fp", "long"))
+    return wanted.mapInArrow(trimming(mapped), wanted.drop("__text").schema.add("fp", "long"))
 
 
 def bit_counts(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -208,13 +213,12 @@ def grouped(docs: DataFrame, doc_id: str, text: str, distance: int = DISTANCE, s
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     own = written(fingerprints(docs, "text", ("doc_id",), shingle), "fingerprints")
-    classes = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = written(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
     found = connected_components(links(classes.select("fp"), distance))
     joined = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     roots = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    # One row for each fingerprint; only its documents may be many, and those are dealt over salts.
-    of = written(joined.join(roots, "component").select("fp", "component_id"), "components")
-    return own.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = written(joined.join(roots, "component").select("fp", "copies", "component_id"), "components")
+    return rejoined(own, of, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
