@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import slices, small, table, texts, written
+from .common import slices, small, table, texts, trimming, written
 
 K = 2
 #: Base phrases and their labels. All of a phrase's words must stand consecutively.
@@ -20,17 +20,31 @@ PHRASES = (
     ("gpl", "general public license"),
     ("reserved", "all rights reserved"),
 )
-#: Templates of the method: public licenses' notices and their labels.
+#: Templates of the method, words of public licenses' notices, and their labels.
 TEMPLATES = (
+    ("agpl-3.0", "licensed under the gnu affero general public license version 3"),
+    ("agpl-3.0", "gnu affero general public license as published by the free software foundation either version 3 of the license"),
     ("apache-2.0", "licensed under the apache license version 2 0"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("artistic-2.0", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed artistic license 2 0"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-3-clause", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("gpl-2.0", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license"),
     ("gpl-3.0", "licensed under the gnu general public license version 3"),
+    ("gpl-3.0", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("lgpl-2.1", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
 )
 #: Diagonals so near are one alignment; a template is found when so many of its words stand in their order in a span.
 SLACK, LEAST_SHARE = 2, 0.9
@@ -117,7 +131,7 @@ def hashed(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(g[own].view(np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], column], names=[*keep, "grams"])
 
-    return wanted.mapInArrow(grams, out)
+    return wanted.mapInArrow(trimming(grams), out)
 
 
 def candidates(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
@@ -206,7 +220,7 @@ def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=out.fieldNames())
 
-    return joined.mapInArrow(checked, out)
+    return joined.mapInArrow(trimming(checked), out)
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
