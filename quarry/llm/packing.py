@@ -25,8 +25,8 @@ SEQUENCE, OPEN_BINS, END = 2048, 1024, 0
 CACHED, LONGEST = 200_000, 64
 #: Tasks number their sequences apart by so many bits.
 TASK_BITS = 40
-#: Added tokens, and letters whose lower case depends on what stands around them.
-UNSURE = re.compile("<\\||[Σİ]")
+#: Added tokens, letters whose lower case depends on what stands around them, and characters that libraries class differently.
+UNSURE = re.compile(f"<\\||[Σİ]|{DOUBTFUL.pattern}")
 
 
 class Packer:
@@ -97,7 +97,7 @@ class WordEncoder:
         self.pieces: dict[str, bytes] = {}
 
     def encode(self, found: list[str]) -> list[bytes]:
-        split = [None if DOUBTFUL.search(x) or UNSURE.search(x) else x.split() for x in found]
+        split = [None if UNSURE.search(x) else x.split() for x in found]
         wanted = set().union(*(x for x in split if x))
         fresh = list(wanted.difference(self.pieces))
         if fresh:
