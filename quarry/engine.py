@@ -175,6 +175,12 @@ class Engine:
         self._store(name, after)
         return self._after(name, "update", changed, returning)
 
+    def update_current(self, name: str, rows: DataFrame, changes: dict[str, Column]) -> None:
+        """UPDATE ... WHERE CURRENT OF: the table's rows that a cursor has fetched."""
+        t = self.tables[name]
+        here = F.struct(*(F.col(f"old.{c}") for c in rows.columns)).eqNullSafe(F.struct(*(F.col(f"new.{c}") for c in rows.columns)))
+        self._store(name, R.updated(t.data, rows, here, {c: F.expr(f"old.{x}") if isinstance(x, str) else x for c, x in changes.items()})[0])
+
     def delete(self, name: str, where: Column | str = "true", returning: Sequence[Column | str] = ()) -> DataFrame | None:
         name, t = self._through(name)
         hit = F.coalesce(F.expr(where) if isinstance(where, str) else where, F.lit(False))

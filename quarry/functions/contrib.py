@@ -232,7 +232,7 @@ SOUNDS = (
     (r"DG(?=[EIY])", "J", 2), (r"D", "T", 1), (r"GH(?=[^AEIOU]|$)", "", 2), (r"G(?=N(?:ED)?$)", "", 1), (r"(?<!G)G(?=[EIY])", "J", 1), (r"G", "K", 1),
     (r"(?<=[CSPTG])H", "", 1), (r"H(?=[AEIOU])", "H", 1), (r"H", "", 1), (r"(?<=C)K", "", 1), (r"PH", "F", 2), (r"Q", "K", 1), (r"SH", "X", 2), (r"S(?=I[OA])", "X", 1),
     (r"T(?=I[OA])", "X", 1), (r"TH", "0", 2), (r"T(?=CH)", "", 1), (r"V", "F", 1), (r"W(?=[AEIOU])", "W", 1), (r"W", "", 1), (r"X", "KS", 1), (r"Y(?=[AEIOU])", "Y", 1), (r"Y", "", 1), (r"Z", "S", 1),
-    (r"[FJLMNRBKPS]", "same", 1),
+    (r"[FJLMNRBKPST]", "same", 1),
 )
 
 

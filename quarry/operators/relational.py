@@ -404,3 +404,11 @@ def union_resolved(*arms: DataFrame, names: Sequence[str], all_rows: bool = Fals
 def grouped_by_key(df: DataFrame, key: Sequence[str], dependent: Sequence[str], *aggregates: Column) -> DataFrame:
     """Groups of a key with columns that depend on it, which don't widen what is shuffled and compared."""
     return df.groupBy(*key).agg(*(F.any_value(c).alias(c) for c in dependent), *aggregates)
+
+
+def crosstab_view(df: DataFrame, row: str, column: str, value: str, most: int = 1600) -> DataFrame:
+    """A column for each value of column, in their order; more than most of them is an error."""
+    names = [r[0] for r in df.select(column).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} columns")
+    return df.groupBy(row).pivot(column, names).agg(F.max(value))

@@ -293,3 +293,62 @@ def group_by_primary_key(t):
     """GROUP BY a key: columns that depend on it come along as any of their equal values."""
     j = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.orders, F.col("o_custkey") == F.col("c_custkey"))
     return R.grouped_by_key(j, ["c_custkey"], ["n_name"], F.count("*").alias("n"))
+
+
+@query("SELECT n_nationkey, n_name AS name, n_regionkey + 1 AS region, upper(n_name) || n_regionkey AS r FROM nation")
+def fn_fields(t):
+    """A field taken out of a row, and one put into it."""
+    d = t.nation.select("n_nationkey", F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).alias("r"))
+    return d.select("n_nationkey", F.col("r.name").alias("name"), (F.col("r.region") + 1).alias("region"), F.concat(F.col("r").withField("name", F.upper("r.name")).getField("name"), "r.region").alias("r"))
+
+
+@query("SELECT c_custkey, c_name FROM (SELECT *, row_number() OVER () - 1 AS place FROM customer) WHERE place IN (0, 7, 40)")
+def tid_scan(t):
+    """Rows by their place in the file."""
+    return S.at_places(t.customer, [0, 7, 40]).select("c_custkey", "c_name")
+
+
+@query("SELECT s_suppkey, CASE WHEN rn BETWEEN 3 AND 5 THEN 0 ELSE s_acctbal END AS s_acctbal FROM (SELECT *, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rn FROM supplier)")
+def update_current_of(t):
+    """UPDATE of the rows that a cursor stands on."""
+    e = _engine(t)
+    e.create_table("s", t.supplier.select("s_suppkey", "s_acctbal"))
+    e.declare("c", e.table("s"), "-s_acctbal", "s_suppkey")
+    e.move("c", 2)
+    e.update_current("s", e.fetch("c", 3), {"s_acctbal": F.lit(0.0)})
+    return e.table("s")
+
+
+@query("SELECT n_regionkey, max(CASE WHEN n_nationkey % 2 = 0 THEN n END)::BIGINT AS \"even\", max(CASE WHEN n_nationkey % 2 = 1 THEN n END)::BIGINT AS \"odd\" FROM (SELECT n_regionkey, n_nationkey % 2 AS n_nationkey, count(*) AS n FROM nation GROUP BY 1, 2) GROUP BY 1")
+def crosstab_view(t):
+    """A result's rows turned into columns, which its own values name."""
+    n = t.nation.groupBy("n_regionkey", F.when(F.col("n_nationkey") % 2 == 0, "even").otherwise("odd").alias("parity")).agg(F.count("*").alias("n"))
+    return R.crosstab_view(n, "n_regionkey", "parity", "n")
+
+
+@query("SELECT p_partkey, 'int' AS size, 'UTF8_BINARY' AS coll, true AS db, p_partkey % 10 = 0 AS tenth FROM part")
+def system_functions(t):
+    x = t.part
+    return x.select("p_partkey", E.typeof("p_size").alias("size"), F.element_at(F.split(E.collation_for("p_name"), r"\."), -1).alias("coll"), (F.current_database().isNotNull() & F.version().startswith("4") & F.current_user().isNotNull()).alias("db"), (F.col("p_partkey") % 10 == 0).alias("tenth"))
+
+
+@query("SELECT 5::BIGINT AS first, 7::BIGINT AS second, 7::BIGINT AS current, (SELECT count(*) FROM region)::BIGINT * 2 + 7 AS last")
+def sequence_calls(t):
+    """nextval twice, currval, then as many as there are regions."""
+    e = _engine(t)
+    e.create_sequence("s", start=5, increment=2)
+    first, second = e.nextval("s"), e.nextval("s")
+    current = e.currval("s")
+    e.numbered(t.region, "s", "i")
+    return t.spark.createDataFrame([(first, second, current, e.lastval())], "first bigint, second bigint, current bigint, last bigint")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 AND o_totalprice > 300000")
+def explained(t):
+    """A plan whose filters reach the scan, as its text says, and the rows."""
+    e = _engine(t)
+    e.create_table("o", t.orders)
+    df = e.query("SELECT o_orderkey FROM o WHERE o_totalprice > 300000 AND o_orderkey % 3 = 0")
+    if "GreaterThan(o_totalprice,300000.0)" not in e.explain(df):
+        raise AssertionError("the filter isn't pushed down")
+    return df

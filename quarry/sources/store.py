@@ -67,6 +67,12 @@ def system_time(df: DataFrame, milliseconds: float) -> DataFrame:
     return df.mapInArrow(read, df.schema)
 
 
+def at_places(df: DataFrame, places: list[int], file: str | None = None) -> DataFrame:
+    """Rows by their places from 0 in a table's files, or in one of them."""
+    here = F.col("_metadata.row_index").isin(places)
+    return df.where(here if file is None else here & (F.col("_metadata.file_name") == file))
+
+
 def system_rows(df: DataFrame, n: int, *keys: str, seed: int = 0) -> DataFrame:
     """Exactly n rows (all, if there are fewer): those with the smallest hashes of their keys."""
     return df.withColumn("__h", F.xxhash64(F.lit(seed), *keys)).orderBy("__h", *keys).limit(n).drop("__h")

@@ -219,3 +219,38 @@ def test_bytes_and_identifiers(spark):
     assert one(spark, B.substring_similar(F.lit("abcdefg"), 'a#"(b_d)#"%', "#")) == "bcd" and one(spark, B.substring_similar(F.lit("abcdefg"), '#"(b_d)#"%', "#")) is None
     assert one(spark, B.regexp_all(F.lit("foobarbequebaz"), "(b[^b]+)(b[^b]+)")) == [["bar", "beque"]]
     assert one(spark, B.unaccent(F.lit("Hôtel Œuvre ß"))) == "Hotel OEuvre ss" and len(one(spark, B.name(F.lit("é" * 40)))) == 31
+
+
+def test_dictionaries_and_queries(spark):
+    from quarry.functions import contrib as C
+    from quarry.functions import search as Q
+
+    stems = {  # fixed values: words of the English stemmer's published sample
+        "consistent": "consist", "consolation": "consol", "consolatory": "consolatori", "conspiracies": "conspiraci", "conspicuous": "conspicu", "knavery": "knaveri", "knees": "knee", "knocked": "knock",
+        "knightly": "knight", "kneeling": "kneel", "happy": "happi", "relational": "relat", "hopping": "hop", "skies": "sky", "dying": "die", "news": "news", "hoping": "hope", "say": "say", "cries": "cri", "ties": "tie",
+    }
+    assert {w: Q.stem(w) for w in stems} == stems
+    english = [Q.synonym({"feline": "cat"}), Q.snowball()]
+    v = Q.tsvector(F.lit("The fat cats sat with a feline"), english)
+    assert [(x.lexeme, x.positions) for x in one(spark, v)] == [("cat", [3, 7]), ("fat", [2]), ("sat", [4])]
+    assert Q.query("the & cats | !running", english) == ("|", ("w", "cat"), ("!", ("w", "run")))
+    assert Q.lexize([C.dict_int(3, reject=True)], "12345") == [] and Q.lexize([C.dict_int(3)], "12345") == ["123"] and Q.lexize([C.dict_xsyn({"a": ["b"]})], "A") == ["a", "b"]
+    assert Q.lexize([Q.prefixed({"ies": ("y",), "s": ("",)}, {"sky", "car"})], "skies") == ["sky"] and Q.lexize([Q.thesaurus({"ok": "all right"})], "ok") == ["all", "right"]
+    assert Q.query_text(Q.both("a | b", "!c")) == "( 'a' | 'b' ) & !'c'" and Q.querytree("a & !b") == "'a'" and Q.querytree("!b") == "T" and K.numnode(K.parse_query("(a & b) | c")) == 5
+    assert Q.rewrite("b & a & c", "a & b & c", "x") == ("w", "x") and Q.query_contains("a & b", "b") and not Q.query_contains("a", "a & b")
+    assert one(spark, Q.rank_cd(F.lit("a b x a b"), ["a", "b"])) == pytest.approx(0.1 * 2 + 0.1 / 2) and one(spark, Q.rank_cd(F.lit("a x"), ["a", "b"])) == 0
+    assert one(spark, Q.headline(F.lit("one two three four"), ["three"], most=2)) == "<b>three</b> four"
+    kinds = [(x.tokid, x.token) for x in one(spark, Q.ts_parse(F.lit("mail a@b.org 12 3.5 www.x.com/y naïve")))]
+    assert [k for k in kinds if k[0] != 12] == [(1, "mail"), (4, "a@b.org"), (21, "12"), (20, "3.5"), (5, "www.x.com/y"), (2, "naïve")]
+    w = Q.joined(Q.set_weight(K.to_tsvector(F.lit("a b")), "A"), Q.set_weight(K.to_tsvector(F.lit("b c")), "B"))
+    assert [(x.lexeme, x.positions, x.weights) for x in one(spark, w)] == [("a", [1], ["A"]), ("b", [2, 3], ["A", "B"]), ("c", [4], ["B"])]
+
+
+def test_sounds_and_similar_words(spark):
+    from quarry.functions import contrib as C
+
+    assert [C.sound(w) for w in ("Thumb", "Knight", "Physics", "Which")] == ["0M", "NT", "FSKS", "WX"]
+    assert one(spark, C.word_similarity(F.lit("word"), F.lit("two words"))) == pytest.approx(0.8) and one(spark, C.difference(F.lit("Anne"), F.lit("Andrew"))) == 2
+    assert one(spark, C.uuid_v3("dns", F.lit("python.org"))) == "6fa459ea-ee8a-3ca4-894e-db77e160355e" and one(spark, C.uuid_v5("dns", F.lit("python.org"))) == "886313e1-3b8a-5372-9b90-0c9aee199e5d"
+    assert one(spark, C.isbn13(F.lit("0-306-40615-2"))) == "9780306406157" and one(spark, C.isbn10(F.lit("0306406153"))) is None and one(spark, C.issn(F.lit("1436-4522"))) == "1436-4522"
+    assert one(spark, C.abbrev(F.lit("10.1.0.0/16"))) == "10.1/16" and one(spark, C.inet_merge(F.lit("192.168.1.5/24"), F.lit("192.168.2.5/24"))) == "192.168.0.0/22"
