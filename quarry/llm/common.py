@@ -25,13 +25,14 @@ def dropped(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-#: A written table of so many rows of a few short columns may be broadcast (some 50 MB).
-MOST_BROADCAST = 500_000
+#: A written table of so many rows and bytes of files may be broadcast.
+MOST_BROADCAST, MOST_BYTES = 500_000, 64 << 20
 
 
 def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """A written table, to be broadcast where its count allows it; else the join is Spark's to plan, by a shuffle."""
-    return F.broadcast(df) if df.count() <= most else df
+    """A written table, to be broadcast where its count and its files' size allow it; else the join is Spark's to plan, by a shuffle."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= MOST_BYTES and df.count() <= most else df
 
 
 #: A class with at least so many rows, and more than a share of 1 / MOST_HEAVY of them all, is heavy.

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_bpe": bpe.op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_embeddings": embeddings.OP6_SQL, "op7_quality": quality.OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_warc": warc.OP4_SQL, "op6_embeddings": embeddings.OP6_SQL, "op7_quality": quality.OP7_SQL}

@@ -253,3 +253,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, read back from its archive; see archived for nulls and empty payloads."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     return read(archived(pages, new_path(spark, "warc")), content=False)
+
+
+#: Base 32 of a SHA-1: each hexadecimal digit as four bits, each five bits as a letter.
+OP4_SQL = """
+WITH d AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages),
+b AS (SELECT page_id, m, strlen(h)::BIGINT AS payload_bytes, array_to_string(list_transform(string_split(sha1(h), ''),
+  lambda c: right('000' || bin(strpos('0123456789abcdef', c) - 1), 4)), '') AS bits FROM d)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + list_sum(list_transform(range(5), lambda j: substring(bits, 5 * i + j + 1, 1)::INT * (16 >> j)))::INT, 1)), '') AS payload_digest,
+  CASE WHEN m = page_id THEN 'response' ELSE 'revisit' END AS record_type, nullif(m, page_id) AS refers_to FROM b
+"""

@@ -1,10 +1,11 @@
 """The operators of quarry.llm against brute force, on odd cases and the smallest tables."""
 
+import base64
 import hashlib
 import io
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -90,6 +91,41 @@ def test_token_counts_add_up(spark, docs):
         assert by[i] == (len(t.encode(x or "", add_special_tokens=False).ids) if "<|" not in (x or "") else by[i])
 
 
+def line_counts(tokenizer, text):
+    """Tokens of each line by brute force: a token goes to the line with most of its bytes, the earliest of equals."""
+    ends = [i + 1 for i, c in enumerate(text.encode()) if c == 10]
+    size = len(text.encode())
+    ends += [size] if size and (not ends or ends[-1] != size) else []
+    starts, n = [0, *ends[:-1]], [0] * len(ends)
+    byte = [sum(len(c.encode()) for c in text[:i]) for i in range(len(text) + 1)] if len(text) < 3000 else None
+    at, data = 0, text.encode()
+    for i in tokenizer.encode(text, add_special_tokens=False).ids:
+        piece = byte_bpe.vocabulary(P.path("byte_bpe_50k.json")).tokens[i]
+        assert data[at : at + len(piece)] == piece
+        shares = [max(0, min(e, at + len(piece)) - max(b, at)) for b, e in zip(starts, ends, strict=True)]
+        n[shares.index(max(shares))] += 1
+        at += len(piece)
+    assert at == size and (byte is None or byte[-1] == size)
+    return n
+
+
+def test_token_counts_by_line(spark, sf):
+    """All rows of op2 on the smallest tables whose texts are short enough for brute force, repeated rows and null ids too."""
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = [(i, x) for i, x in enumerate(TEXTS) if "<|" not in (x or "") and len(x or "") < 3000]
+    rows += [(r.doc_id + 1000, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if len(r.text or "") < 3000]
+    rows += [rows[9], (None, "a\nb  \n\n c")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = defaultdict(list)
+    for r in token_counts.line_tokens(d, "doc_id", "text", P.path("byte_bpe_50k.json")).collect():
+        out[r.doc_id].append((r.section, r.n_tokens))
+    want = defaultdict(list)
+    for i, x in rows:
+        want[i] += list(enumerate(line_counts(t, x or "")))
+    assert {k: sorted(v) for k, v in out.items()} == {k: sorted(v) for k, v in want.items() if v}
+    assert token_counts.line_tokens(d.limit(0), "doc_id", "text", P.path("byte_bpe_50k.json")).count() == 0
+
+
 def test_packing(spark, docs, none):
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
@@ -124,13 +160,13 @@ def test_fingerprints_and_components(spark, docs, none, sf):
         rows = d.collect()
         fps = {}
         for r in rows:
-            w = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (r.text or "")[:5000] if True)) if r.text != LONG else None
-            if w is None:
-                fps[r.doc_id] = simhash.fingerprint(r.text)
-                continue
+            w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
             s = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
-            h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
-            fps[r.doc_id] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if len(r.text or "") <= 5000 else simhash.fingerprint(r.text)
+            counts = [0] * 64
+            for x, n in Counter(s).items():
+                h = xxhash.xxh64_intdigest(x.encode(), 42)
+                counts = [c + n * (h >> b & 1) for b, c in enumerate(counts)]
+            fps[r.doc_id] = sum(1 << b for b in range(64) if 2 * counts[b] > len(s))
         out = {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in simhash.grouped(d, "doc_id", "text").collect()}
         assert {k: v[0] for k, v in out.items()} == fps
         assert {k: v[1] for k, v in out.items()} == brute(fps, lambda a, b: (a ^ b).bit_count() <= 2)
@@ -253,6 +289,24 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archived(pages.limit(0), f"file://{tmp_path}/e").count() == 0
 
 
+def test_warc_repeated_rows_and_null_ids(spark, tmp_path):
+    rows = [(1, "a"), (1, "a"), (2, "a"), (2, "a"), (None, "a"), (None, "z"), (None, "z"), (3, "b"), (3, "c")]
+    pages = spark.createDataFrame([(i, None, h, 0) for i, h in rows], "page_id long, url string, html string, refers_to int")
+    got = sorted(((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(warc.archived(pages, f"file://{tmp_path}/w")).collect()), key=repr)
+    b32 = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    kind = lambda i, h: ("revisit", 2) if h == "a" and i != 2 else ("response", None)
+    assert got == sorted(((i, b32(h), *kind(i, h)) for i, h in rows), key=repr)
+
+
+def test_warc_of_a_table(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    largest = {}
+    for r in pages:
+        largest[r.html or ""] = max(largest.get(r.html or "", r.page_id), r.page_id)
+    want = {r.page_id: (len((r.html or "").encode()), base64.b32encode(hashlib.sha1((r.html or "").encode()).digest()).decode(), "response" if largest[r.html or ""] == r.page_id else "revisit", None if largest[r.html or ""] == r.page_id else largest[r.html or ""]) for r in pages}
+    assert {r[0]: tuple(r)[1:5] for r in warc.op4_warc(spark, sf).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()} == want
+
+
 def test_records_whatever_the_chunks():
     raw = [warc.record(i, "u", bytes([65 + i]) * i * 7, None) for i in range(9)]
     whole = b"".join(raw)
@@ -278,6 +332,25 @@ def test_secret_base_spans_and_ownership(spark, docs, none):
     assert secrets.redacted(none, "text", "source", "doc_id").count() == 0
 
 
+def test_secret_columns_of_a_table(spark, sf):
+    """op5's base columns, computed from the contract's patterns alone."""
+    patterns = [("assign", r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)]
+    texts_ = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in secrets.op5_secrets(spark, sf).collect():
+        found = sorted((m.start(), j, m.end(), k) for j, (k, p, g, n) in enumerate(patterns) for m in re.compile(p, re.A).finditer(texts_[r.doc_id]) if len(m[g]) >= n)
+        joined = ",".join(f"{k}:{a}:{b}" for a, _, b, k in found)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(f[1] == j for f in found) for j in range(3))
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and set(filter(None, joined.split(","))) <= set(filter(None, r.spans.split(",")))
+
+
+def test_own_spans_of_many_tokens():
+    rng = np.random.default_rng(2)
+    text = " ".join("".join(rng.choice(list("0123456789abcdefXYZ"), int(rng.integers(10, 50)))) if rng.random() < 0.5 else f"token={rng.integers(1 << 60):x}" for _ in range(400))
+    base = secrets.base_spans(text)
+    want = [m.span() for m in secrets.LONG_TOKEN.finditer(text) if secrets.looks_random(m[0]) and not any(s < m.end() and m.start() < e for s, _, e, _ in base)]
+    assert [(s, e) for s, _, e, _ in secrets.own_spans(text, base)] == want and want
+
+
 def test_keys_of_many_documents_or_two_owners_are_found(spark):
     """A key in many documents of its owner, one copied to a second owner, and an example that four have."""
     many, copied, example = (f"ghp_{x}9Xq2LmZ7tRw4Kc8Vb1Ns6Yd3Hf5Jg0Pa" for x in ("One1", "Two2", "Ex4m"))
@@ -311,6 +384,20 @@ def test_embeddings(spark):
     assert embeddings.grouped(d.limit(0), "vec_id", "embedding", "label").count() == 0
 
 
+def test_embeddings_repeated_and_null_ids(spark):
+    a, b = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0]
+    rows = [(1, a, 0), (1, a, 0), (1, b, 0), (2, [2.0, 0.0, 0.2], 0), (None, a, 0), (None, [0.0, 0.0, 1.0], 0), (5, b, None), (5, None, 0)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((tuple(r) for r in embeddings.grouped(d, "vec_id", "embedding", "label").collect()), key=repr)
+    assert got == sorted([(1, 3, 1), (1, 3, 1), (1, 0, 1), (2, 3, 1), (None, 3, 1), (None, 0, None), (5, 0, 5), (5, 0, 5)], key=repr)
+
+
+def test_planes_grow_and_keep_the_recall():
+    for n in (0, 10, 10**5, 10**7, 10**9):
+        planes, tables = embeddings.shape(n, 0.98)
+        assert 14 <= planes <= 30 and 1 - (1 - (1 - np.arccos(0.98) / np.pi) ** planes) ** tables >= 0.9999 - 1e-12
+
+
 def test_quality_of_odd_texts(spark, docs, none):
     rows = {r.doc_id: r for r in quality.judge(docs, "text", "source", {"doc_id": "doc_id"}).collect()}
     for i, t in enumerate(TEXTS):
@@ -351,6 +438,44 @@ def test_cross_parsing_is_greedy_longest_match():
         assert rates[0].tolist() == [phrases(f" {s} ", f" {t} ") / (len(t) + 2) for s in ("abracadabra alakazam", "hocus pocus simsalabim")]
 
 
+def test_parse_of_whole_texts_in_both_forms(spark):
+    """Real texts of any length, blocks by blocks, against a plain longest-match parse; and tables against searched arcs."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text IS NOT NULL").orderBy("doc_id").limit(60).collect()
+    samples = language.sample(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id", "text", "lang")
+    samples = {k: v[:4000] for k, v in samples.items()}
+    found = [r.text for r in rows] + ["", "12 34", "中文 字符 abc", "x" * 700]
+    tables, arcs = language.Model(samples), language.Model(samples, cells=0)
+    assert all(a.table is not None for a in tables.automata) and all(a.table is None for a in arcs.automata)
+    rates, lettered = tables.phrase_rates(found)
+    assert (arcs.phrase_rates(found)[0] == rates).all()
+    clean = lambda x: " " + re.sub(" +", " ", "".join(c.lower() if c.isalpha() else " " for c in x)).strip() + " "
+    known = {c for v in samples.values() for c in clean(v)}
+    for name, column in zip(tables.names, rates.T, strict=True):
+        sample = re.sub(" +", " ", clean(samples[name]))
+        for x, rate in zip(found, column.tolist(), strict=True):
+            t = re.sub(" +", " ", clean(x)) if clean(x).strip() else " "
+            if any(len(c) != 1 for c in t) or len(t) != len(" ".join(t.split()).join("  ")) or len(x) > 5000:
+                continue
+            n = 0
+            for at in range(0, len(t), language.BLOCK):
+                block, i = t[at : at + language.BLOCK], 0
+                while i < len(block):
+                    k = 1
+                    if block[i] in known and block[i] in sample:
+                        while i + k < len(block) and block[i : i + k + 1] in sample:
+                            k += 1
+                    n, i = n + 1, i + k
+            assert abs(rate - n / len(t)) < 1e-9, (name, x[:50])
+
+
+def test_sample_with_a_repeated_id(spark):
+    """20,000 rows of one id don't crowd out another language; all of one text count once."""
+    rows = [(7, f"aa word {i}" if i % 2 else "aa same", "aa") for i in range(20_000)] + [(i, f"zz other {i}", "zz") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = language.sample(d, "doc_id", "text", "lang")
+    assert sorted(samples) == ["aa", "zz"] and samples["aa"].count("same") <= 1 and samples["zz"].count("other") > 100
+
+
 def test_language_accuracy_and_odd_texts(spark, docs, none):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language.op8_language(spark, "/root/testdata/sf0.01").join(d.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -395,6 +520,82 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none, "doc_id", "text").count() == 0
 
 
+def test_clashing_names(spark):
+    """Columns with the names that stages use inside."""
+    rows = [(i, f"some words of text number {i} that are long enough for every rule here {i}", "en", "s", 1) for i in range(6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    inner = ("__lang", "__score", "__rate", "__text", "__a", "__b", "__ka", "__kb", "__t", "__cuts", "__gone", "__twice", "__host")
+    d = d.select("*", *(F.lit("x").alias(c) for c in inner))
+    import corpus_pipeline
+
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, "")
+        assert out.columns == d.columns and all(r[c] == "x" for r in out.collect() for c in inner)
+    assert corpus_pipeline.STAGES[-1][1](spark, d, "").count() == 6
+
+
+def test_pipeline_against_brute_force(spark, sf):
+    """Each stage on what the one before it kept, and the whole, on the smallest tables."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    rows = {r.doc_id: r for r in docs.collect()}
+    kept = {r.doc_id: r for r in stages["language id"](spark, docs, sf).collect()}
+    # Language: clean labelled texts stay, texts without a letter go, labels stay as they are.
+    assert {i for i, r in rows.items() if r.lang and any(c.isalpha() for c in r.text or "")} <= set(kept)
+    assert not any(not any(c.isalpha() for c in rows[i].text or "") for i in kept)
+    assert all(kept[i].lang == rows[i].lang for i in kept if rows[i].lang)
+
+    good = {r.doc_id: r for r in stages["quality rules"](spark, spark.createDataFrame(list(kept.values()), docs.schema), sf).collect()}
+    measures, hosts = {}, defaultdict(list)
+    for i, r in kept.items():
+        t = r.text
+        w = re.findall("[^\x20\x09-\x0d]+", t)
+        g = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        covered = {k + j for k in range(len(w) - 4) if g[tuple(w[k : k + 5])] > 1 for j in range(5)}
+        lines = [x for x in t.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+        chars, symbols, twice = sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines))
+        base = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+        soft = chars < 2 * len(w) or chars > 15 * len(w) or 100 * symbols > 10 * chars or 100 * twice > 30 * len(lines)
+        measures[i] = base, soft
+        hosts[r.source].append(base or soft)
+    rates = [sum(x) / len(x) for x in hosts.values()]
+    mean, var = sum(rates) / len(rates), np.var(rates)
+    weight = max(mean * (1 - mean) / var - 1 if var else 10.0, 0.0)
+    bad = {h for h, x in hosts.items() if (sum(x) + mean * weight) / (len(x) + weight) > 0.5}
+    assert set(good) == {i for i, (base, soft) in measures.items() if not base and not (soft and kept[i].source in bad)}
+
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) for i, r in good.items() for w in [re.sub("[A-Z]", lambda m: m[0].lower(), r.text).split()]}
+    groups = brute(sets, lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b))
+    distinct = {r.doc_id: r for r in stages["near duplicates"](spark, spark.createDataFrame(list(good.values()), docs.schema), sf).collect()}
+    assert set(distinct) == set(groups.values())
+
+    clean = {r.doc_id: r for r in stages["secret scans"](spark, spark.createDataFrame(list(distinct.values()), docs.schema), sf).collect()}
+    holders = defaultdict(set)
+    spans = {}
+    for i, r in distinct.items():
+        base = secrets.base_spans(r.text)
+        spans[i] = base + secrets.own_spans(r.text, base)
+        for x in spans[i]:
+            holders[x[3]].add(r.source)
+    for i, r in distinct.items():
+        text, cuts = r.text, sorted((s, e) for s, _, e, x in spans[i] if len(holders[x]) < 4)
+        out, done = "", 0
+        for s, e in cuts:
+            if s >= done:
+                out += text[done:s] + "[REDACTED]"
+            done = max(done, e)
+        assert clean[i].text == out + text[done:] and clean[i].n_chars == len(clean[i].text)
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    t.no_truncation()
+    pieces = defaultdict(int)
+    for r in corpus_pipeline.run(spark, sf).collect():
+        pieces[r.doc_id] += r.length
+    assert dict(pieces) == {i: len(t.encode(r.text, add_special_tokens=False).ids) + 1 for i, r in clean.items()}
+
+
 def test_pipeline_on_small_tables(spark, sf, docs, none):
     import corpus_pipeline
 
@@ -404,3 +605,18 @@ def test_pipeline_on_small_tables(spark, sf, docs, none):
             out = stage(spark, d, sf)
             assert out.columns == d.columns
             out.count()
+
+
+@pytest.mark.parametrize("name", ["op4_warc", "op6_embeddings", "op7_quality"])
+def test_same_rows_as_sql(spark, sf, name):
+    import duckdb
+
+    from quarry.llm.queries import ORACLE_SQL, QUERIES
+
+    c = duckdb.connect()
+    for t in ("pages", "embeddings", "documents"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = c.sql(ORACLE_SQL[name])
+    got = QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
