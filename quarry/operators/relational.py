@@ -261,20 +261,33 @@ def _settled(df: DataFrame, large: bool) -> tuple[DataFrame, bool, bool]:
 def recursive(base: DataFrame, step, all_rows: bool = False, most: int = 1000) -> DataFrame:
     """WITH RECURSIVE: base, then step(of the last round's rows) until a round is empty. Without all_rows, rows that were seen go.
 
-    Small rounds are held by the driver, and all rounds but the last few in one table, so that a round reads what was seen
-    once, in a few files.
+    While all rows together are few, the driver holds them and a round is one job. Then rounds are written, and what was
+    seen stands in one table but for the last few rounds, so that a round reads it once, in a few files.
     """
     from ..sources.store import written
 
-    last, empty, large = _settled(base if all_rows else base.distinct(), False)
-    parts = [last]
-    for _ in range(most):
-        new = step(last).select(*base.columns)
+    spark, names, schema = base.sparkSession, base.columns, base.schema
+    seen: dict[str, tuple] = {}
+    held: list[tuple] = []
+    last, rounds = base, 0
+    while rounds <= most:
+        rows = (base if not rounds else step(last).select(*names)).limit(HELD_ROWS + 1).collect()
+        if len(held) + len(rows) > HELD_ROWS:
+            break
+        new = [tuple(r) for r in rows] if all_rows else list({repr(tuple(r)): tuple(r) for r in rows if repr(tuple(r)) not in seen}.values())
+        if not new:
+            return spark.createDataFrame(held, schema)
+        held += new
+        seen |= {repr(r): r for r in new}
+        last, rounds = spark.createDataFrame(new, schema), rounds + 1
+    parts = [spark.createDataFrame(held, schema)]
+    for _ in range(rounds, most + 1):
+        new = base if not rounds else step(last).select(*names)
         if not all_rows:
-            seen = reduce(DataFrame.unionAll, parts)
-            new = new.distinct().join(seen, reduce(Column.__and__, [new[c].eqNullSafe(seen[c]) for c in base.columns]), "left_anti")
-        last, empty, large = _settled(new, large)
-        if empty:
+            before = reduce(DataFrame.unionAll, parts)
+            new = new.distinct().join(before, reduce(Column.__and__, [new[c].eqNullSafe(before[c]) for c in names]), "left_anti")
+        last, rounds = written(new), rounds + 1
+        if last.isEmpty():
             return reduce(DataFrame.unionAll, parts)
         parts.append(last)
         if len(parts) == 16:

@@ -45,7 +45,7 @@ scalars(
     add=(lambda: T.time_text(T.time_plus(T.time_of(_t()), S.interval(days=1, hours=20))), f"({_T}::TIME + INTERVAL 20 hour)::VARCHAR"), sub=(lambda: T.time_minus(T.time_of(_t()), T.make_time(12, 0, 0)).getField("micros"), f"date_diff('microsecond', TIME '12:00:00', {_T}::TIME)"),
     it=(lambda: T.time_text(T.interval_time(S.interval(days=3, hours=26))), "'02:00:00'"), ti=(lambda: T.time_interval(T.time_of(_t())).getField("micros"), f"date_diff('microsecond', TIME '00:00:00', {_T}::TIME)"), at=(lambda: T.at(F.to_date("o_orderdate"), T.make_time(F.col("o_orderkey") % 24, 30, 0)), "o_orderdate::DATE + make_time(o_orderkey % 24, 30, 0)"),
     atz=(lambda: T.at_zoned(F.to_date("o_orderdate"), T.timetz(T.make_time(F.col("o_orderkey") % 24, 0, 0), 3600)).cast("timestamp_ntz"), "o_orderdate::DATE + make_time(o_orderkey % 24, 0, 0) - INTERVAL 1 hour"),
-    cmp=(lambda: T.timetz_key(T.timetz(T.time_of(_t()), 3600)) < T.timetz_key(T.timetz(T.make_time(12, 0, 0), 0)), f"{_T}::TIME < TIME '13:00:00'"), lt=(lambda: T.time_of(_t()) < T.make_time(12, 30, 0), f"{_T}::TIME < TIME '12:30:00'"), big=(lambda: T.time_text(F.greatest(T.time_of(_t()), T.make_time(12, 0, 0))), f"greatest({_T}::TIME, TIME '12:00:00')::VARCHAR"),
+    cmp=(lambda: T.timetz_key(T.timetz(T.time_of(_t()), 3600)) < T.timetz_key(T.timetz(T.make_time(12, 0, 0), 0)), f"{_T}::TIME <= TIME '13:00:00'"), lt=(lambda: T.time_of(_t()) < T.make_time(12, 30, 0), f"{_T}::TIME < TIME '12:30:00'"), big=(lambda: T.time_text(F.greatest(T.time_of(_t()), T.make_time(12, 0, 0))), f"greatest({_T}::TIME, TIME '12:00:00')::VARCHAR"),
 )
 scalars(
     "fn_timestamps", "orders", "o_orderkey",
