@@ -249,7 +249,7 @@ same_sql("window_offset", f"SELECT o_orderkey, lag(o_totalprice) {_W}) AS a, lea
 same_sql("window_value", f"SELECT o_orderkey, first_value(o_orderkey) {_W}) AS f, last_value(o_orderkey) {_W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l, nth_value(o_orderkey, 2) {_W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS n2 FROM orders", "orders")
 same_sql("window_frames", f"SELECT o_orderkey, count(*) {_W} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS a, max(o_orderkey) {_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b, min(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS c FROM orders", "orders")
 same_sql("window_over_groups", "SELECT l_suppkey, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS r FROM lineitem GROUP BY l_suppkey", "lineitem")
-same_sql("window_running_share", "SELECT c_custkey, sum(cast(c_acctbal AS decimal(18,2))) OVER (PARTITION BY c_nationkey) > 0 AS positive, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n FROM customer", "customer")
+same_sql("window_running_share", "SELECT c_custkey, sum(cast(c_acctbal AS decimal(18,2))) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > 0 AS positive, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM customer", "customer")
 
 
 # Order, limit, distinct
@@ -352,6 +352,22 @@ def change_apply(t):
     return out.select("user_id", "event_id")
 
 
+_OLD_NEW = """(SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events WHERE event_type = 'click' GROUP BY 1) o
+FULL JOIN (SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events WHERE event_type = 'purchase' GROUP BY 1) n USING (user_id)"""
+
+
+@query("SELECT user_id, rule, CASE rule WHEN 'remote' THEN coalesce(n.event_id, o.event_id) WHEN 'local' THEN coalesce(o.event_id, n.event_id) "
+       "WHEN 'last' THEN CASE WHEN o.event_id IS NULL OR n.ts >= o.ts THEN n.event_id ELSE o.event_id END "
+       f"ELSE CASE WHEN o.event_id IS NULL OR n.ts < o.ts THEN n.event_id ELSE o.event_id END END AS event_id FROM {_OLD_NEW}, (VALUES ('remote'), ('local'), ('last'), ('first')) r(rule)")
+def change_conflicts(t):
+    """Purchases applied to a table of clicks by each conflict rule."""
+    e = t.events.select("user_id", "event_id", "ts", "event_type")
+    table = changes.latest(e.where("event_type = 'click'"), ["user_id"], ["ts", "event_id"], F.lit(False))
+    new = e.where("event_type = 'purchase'")
+    by = lambda rule: changes.applied(table, new, ["user_id"], ["ts", "event_id"], F.lit(False), keep=rule, stamp="ts").select("user_id", F.lit(rule).alias("rule"), "event_id")
+    return by("remote").unionAll(by("local")).unionAll(by("last")).unionAll(by("first"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def window_tumbling(t):
     """Beyond the reference: tumbling windows."""
