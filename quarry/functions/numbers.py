@@ -202,7 +202,8 @@ def bits(n, width: int) -> Column:
 
 
 def bits_number(b) -> Column:
-    return F.conv(_c(b), 2, 10).cast("long")
+    """At most 64 bits as a bigint; the first of 64 is the sign."""
+    return F.conv(_c(b), 2, -10).cast("long")
 
 
 def _zipped(a, b, f) -> Column:
