@@ -101,22 +101,29 @@ def held(key: tuple, make: Callable):
 def trimming(f: Callable, keeps: str = "") -> Callable:
     """f over batches, whose worker gives freed memory back to the system when a partition ends; workers live on between stages.
 
-    What is held for other operators than keeps, the first part of held's key, goes before the first batch.
+    What is held for other operators than keeps, the first part of held's key, goes before the first batch, and to the system.
     """
 
     def run(batches):
-        for key in [k for k in _held if k[0] != keeps]:
+        others = [k for k in _held if k[0] != keeps]
+        for key in others:
             del _held[key]
+        if others:
+            _trim()
         yield from f(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        _trim()
 
     return run
 
 
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for each node that has an edge to another, by alternating large and small stars.
 

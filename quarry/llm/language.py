@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, held, slices, table, texts, trimming
+from .common import fresh, held, slices, table, texts, trimming, written
 
 #: The bound of the fit: documents of each language, characters of each of these, of a language, and in all; where languages
 #: are so many that they have to share the latter, fewest documents of each.
@@ -20,9 +20,9 @@ ALL_CELLS = 1 << 24
 #: Texts are parsed in blocks of so many characters; a phrase ends with its block.
 BLOCK = 256
 FOLDS, HELD_OUT, UNDETERMINED = 4, 2, "und"
-#: Bound on the phrases a character of a text in a language: of so many labelled documents that weren't learned, so high a
+#: Bound on the phrases a character of a text in a language: of all labelled documents that weren't learned, so high a
 #: quantile, times WIDE plus SHORT a root of the text's characters. With fewer than LEAST_DOCS of them it is STRANGE.
-BOUND_DOCS, QUANTILE, WIDE, SHORT, LEAST_DOCS, STRANGE = 2000, 0.99, 1.75, 6.0, 100, 0.7
+QUANTILE, WIDE, SHORT, LEAST_DOCS, STRANGE = 0.99, 1.75, 6.0, 100, 0.7
 
 
 def held_out(doc_id: str) -> Column:
@@ -205,7 +205,7 @@ def identify(docs: DataFrame, text: str, samples: dict[str, str], keep: tuple[st
 
     def judged(batches):
         model = held(("language", key), lambda: Model(shared.value)) if shared.value else None
-        for batch in slices(batches):
+        for batch in slices(batches, most=1 << 20):  # a parse takes many times its text
             found = texts(batch.column(at))
             answers = model.predict(found) if model else ([UNDETERMINED] * len(found), [0.0] * len(found), [1.0] * len(found))
             columns = [pa.array(a, k) for a, k in zip(answers, (pa.string(), pa.float64(), pa.float64()), strict=True)]
@@ -222,18 +222,19 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-def bounds(docs: DataFrame, doc_id: str, text: str, lang: str, samples: dict[str, str]) -> dict[str, float]:
-    """The QUANTILE of phrases a character of each language, where LEAST_DOCS labelled documents tell it.
+def bounds(found: DataFrame, doc_id: str, text: str, lang: str, predicted: str, rate: str) -> dict[str, float]:
+    """The QUANTILE of phrases a character of each language, where LEAST_DOCS labelled documents tell it, from identify's rows.
 
-    The documents are chosen by their id's hash, and those that sample may have learned from are left out.
+    All labelled documents whose language was found count, but those that sample may have learned from.
     """
-    known = labelled(docs, doc_id, text, lang)
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect() if r["lang"] in samples and r["n"] > SAMPLE_DOCS}
+    known = found.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    known = known.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.col(doc_id).alias("id"), F.col(predicted).alias("predicted"), F.col(rate).alias("rate"))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect() if r["n"] > SAMPLE_DOCS}
     if not counts:
         return {}
-    of = lambda most: F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, most / n))))[F.col("lang")]
-    rated = identify(known.where((place(7) >= of(SAMPLE_DOCS)) & (place(8) < of(BOUND_DOCS))), "text", samples, ("lang",)).where("lang = lang_pred")
-    rows = rated.groupBy("lang").agg(F.percentile_approx("phrase_rate", QUANTILE).alias("rate"), F.count("*").alias("n")).collect()
+    learned = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, SAMPLE_DOCS / n)))[F.col("lang")]
+    rated = known.where((place(7) >= learned) & (F.col("lang") == F.col("predicted")))
+    rows = rated.groupBy("lang").agg(F.percentile_approx("rate", QUANTILE).alias("rate"), F.count("*").alias("n")).collect()
     return {r["lang"]: r["rate"] for r in rows if r["n"] >= LEAST_DOCS}
 
 
@@ -247,9 +248,9 @@ def recognised(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
     samples = sample(docs, doc_id, text, lang)
     if not samples:
         return docs.where(F.col(text).rlike(r"\p{L}"))
-    usual = bounds(docs, doc_id, text, lang, samples)
     names = tuple(fresh(docs.columns, x) for x in ("__lang", "__score", "__rate"))
-    found = identify(docs, text, samples, tuple(docs.columns), names)
+    found = written(identify(docs, text, samples, tuple(docs.columns), names), "languages")
+    usual = bounds(found, doc_id, text, lang, names[0], names[2])
     most = F.lit(STRANGE)
     if usual:
         of = F.create_map(*(F.lit(x) for kv in usual.items() for x in kv))[F.col(names[0])]
