@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -137,17 +140,40 @@ def divide(a, b) -> Column:
     return F.when(over, F.raise_error(F.lit("value out of range: overflow")).cast("double")).otherwise(out)
 
 
+def ratio(a, b) -> Column:
+    """Of floats, unchecked: infinite or not a number for a zero divisor, whose sign counts, and infinite beyond the range."""
+    a, b = _c(a).cast("double"), _c(b).cast("double")
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / F.nullif(b, F.lit(0.0)))
+
+
+def rounded(x, n: int) -> Column:
+    """x to n places: the scaled number to a whole one, halves away from zero. A zero keeps its sign, and a number too large to scale stays."""
+    scaled = _c(x) * 10.0**n
+    even = F.rint(scaled)
+    out = F.when(F.abs(scaled - even) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(even) / 10.0**n
+    return F.when(F.abs(out) < float("inf"), out).otherwise(_c(x))
+
+
+def libm(name: str, x) -> Column:
+    """asin, acos or atan of the C library, as other engines have them: Java's differ in the last bit here and there."""
+
+    def run(v: pa.Array) -> pa.Array:
+        return getattr(pc, name)(v)
+
+    return F.arrow_udf(run, "double")(_c(x).cast("double"))
+
+
 def arc(name: str, x) -> Column:
     """asind, acosd, atand: degrees, exact for the sines and tangents of multiples of 30 and 45."""
-    x = _c(x)
-    exact = {"asind": {0.0: 0.0, 0.5: 30.0, 1.0: 90.0}, "acosd": {1.0: 0.0, 0.5: 60.0, 0.0: 90.0, -1.0: 180.0}, "atand": {0.0: 0.0, 1.0: 45.0}}[name]
-    f = {"asind": F.asin, "acosd": F.acos, "atand": F.atan}[name]
-    out = F.degrees(f(x))
-    for k, v in exact.items():
-        out = F.when(x == k, F.lit(v)).otherwise(out)
-        if k and name != "acosd":
-            out = F.when(x == -k, F.lit(-v)).otherwise(out)
-    return out
+    exact = {"asind": {0.5: 30.0, 1.0: 90.0, -0.5: -30.0, -1.0: -90.0}, "acosd": {1.0: 0.0, 0.5: 60.0, 0.0: 90.0, -1.0: 180.0}, "atand": {1.0: 45.0, -1.0: -45.0}}[name]
+
+    def run(v: pa.Array) -> pa.Array:
+        out = pc.multiply(getattr(pc, name[:-1])(v), 180 / math.pi)
+        for k, d in exact.items():
+            out = pc.if_else(pc.equal(v, k), d, out)
+        return out
+
+    return F.arrow_udf(run, "double")(_c(x).cast("double"))
 
 
 # Money: decimal(19,2)
